@@ -17,16 +17,14 @@ NONE = np.int32(2**31 - 1)
 _KEY = np.uint64(0x9E3779B97F4A7C15)
 
 
-class PairTable:
-    """Open-addressed hash of (left, right) -> (rank, joined id), looked up by whole arrays."""
+class KeyTable:
+    """Open-addressed hash of distinct 64-bit keys, looked up by whole arrays."""
 
-    def __init__(self, left: np.ndarray, right: np.ndarray, rank: np.ndarray, joined: np.ndarray) -> None:
-        keys = (left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)
+    def __init__(self, keys: np.ndarray) -> None:
         self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 3))))
         size = 1 << self.bits
         self.keys = np.full(size, np.uint64(2**64 - 1))
         self.at = np.full(size, NONE, np.int32)
-        self.rank, self.joined = rank.astype(np.int32), joined.astype(np.int32)
         todo, slot, self.probes = np.arange(len(keys)), self._slot(keys), 1
         while len(todo):
             free = self.at[slot] == NONE
@@ -40,24 +38,41 @@ class PairTable:
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * _KEY) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Index of each pair's merge, NONE where there is none."""
-        keys = (left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)
-        slot, out = self._slot(keys), np.full(len(keys), NONE, np.int32)
-        open_ = np.arange(len(keys))
+    def find_keys(self, keys: np.ndarray) -> np.ndarray:
+        """Index of each key, NONE where it is absent."""
+        slot = self._slot(keys)
+        at = self.at[slot]
+        hit = self.keys[slot] == keys
+        out = np.where(hit, at, NONE)
+        open_ = np.flatnonzero(~hit & (at != NONE))
         for _ in range(self.probes):
-            at = self.at[slot]
-            hit = (self.keys[slot] == keys[open_]) & (at != NONE)
-            out[open_[hit]] = at[hit]
-            more = ~hit & (at != NONE)
-            if not more.any():
+            if not len(open_):
                 break
-            open_, slot = open_[more], (slot[more] + 1) % len(self.at)
+            slot_ = (slot[open_] + 1) % len(self.at)
+            slot[open_] = slot_
+            at, hit = self.at[slot_], self.keys[slot_] == keys[open_]
+            out[open_[hit]] = at[hit]
+            open_ = open_[~hit & (at != NONE)]
         return out
 
 
+class PairTable(KeyTable):
+    """(left, right) -> (rank, joined id)."""
+
+    def __init__(self, left: np.ndarray, right: np.ndarray, rank: np.ndarray, joined: np.ndarray) -> None:
+        super().__init__(self._keys(left, right))
+        self.rank, self.joined = rank.astype(np.int32), joined.astype(np.int32)
+
+    @staticmethod
+    def _keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return (left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return self.find_keys(self._keys(left, right))
+
+
 class MergeReplay:
-    """Encodes blocks of words; `start` maps a word to its first symbols."""
+    """Encodes blocks of words from a pair table and the symbol of each byte (and of a last byte)."""
 
     def __init__(self, table: PairTable, symbols: np.ndarray, last: np.ndarray | None = None) -> None:
         self.table, self.symbols, self.last = table, symbols, last

@@ -8,6 +8,19 @@ from pyspark.sql import functions as F
 from .common import read, vocabulary
 
 
+def _rest(divisor: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(divisor))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score
+
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = fit(docs, labels.filter(_rest(4) != 2))
+    scored = score(docs, model)
+    return scored.select("doc_id", (_rest(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -16,6 +29,14 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit, predict
+
+    docs, path = read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model")
+    model = fit(docs.filter(_rest(3) != 1), path)
+    return predict(docs, path, model).select("doc_id", (_rest(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -23,6 +44,6 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {q.__name__: q for q in (op2_byte_bpe, op6_simhash)}
+QUERIES = {q.__name__: q for q in (op1_toxicity, op2_byte_bpe, op3_language, op6_simhash)}
 
 SQL: dict[str, str] = {}
