@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -41,19 +42,19 @@ class Codec:
         """Encode unseen chunks: split them by the pattern, replay the unseen matches at once."""
         if len(self.pieces) + len(self.head) + len(self.body) > CACHE_WORDS * 2:
             self.pieces, self.head, self.body = {}, {}, {}
-        cut, new = {}, set()
-        for kind, cache, lead in (("head", self.head, ""), ("body", self.body, " ")):
-            for chunk in chunks[kind]:
-                if chunk in cache:
-                    continue
-                if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-                    cut[kind, chunk] = None  # white space that may join its neighbours'
-                else:
-                    cut[kind, chunk] = m = self.pattern.findall(lead + chunk)
+        todo, new = [], set()
+        for lead, cache, seen in (("", self.head, chunks["head"]), (" ", self.body, chunks["body"])):
+            unseen = [c for c in seen if c not in cache]
+            # white space at an edge may join its neighbours'
+            matches = [self.pattern.findall(lead + c) if c and not c[0].isspace() and not c[-1].isspace() else None for c in unseen]
+            for m in matches:
+                if m:
                     new.update(m)
+            todo.append((cache, unseen, matches))
         self.encode_pieces(new)
-        for (kind, chunk), matches in cut.items():
-            getattr(self, kind)[chunk] = None if matches is None else b"".join(map(self.pieces.__getitem__, matches))
+        get, join = self.pieces.__getitem__, b"".join
+        for cache, unseen, matches in todo:
+            cache.update(zip(unseen, [None if m is None else join(map(get, m)) for m in matches], strict=True))
 
     def encode_pieces(self, pieces: set[str]) -> None:
         new = [p for p in pieces if p not in self.pieces]
@@ -71,8 +72,12 @@ class Codec:
             for words in lines:
                 chunks["head"].add(words[0])
                 chunks["body"].update(words[1:])
-        self.learn(chunks)
-        self.encode_pieces({"\n"})
+        gc.disable()  # nothing here is cyclic, and collections over large caches are slow
+        try:
+            self.learn(chunks)
+            self.encode_pieces({"\n"})
+        finally:
+            gc.enable()
         newline = self.pieces["\n"]
         for text, lines in zip(texts, split, strict=True):
             try:
@@ -86,7 +91,7 @@ class Codec:
         return b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def _blocks(batches, size: int = 8 << 20):
+def _blocks(batches, size: int = 16 << 20):
     """Slices of batches with about `size` characters, so that a block's memory is bounded."""
     for batch in batches:
         texts = texts_of(batch)

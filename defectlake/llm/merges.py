@@ -71,6 +71,14 @@ class PairTable(KeyTable):
         return self.find_keys(self._keys(left, right))
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted, without repeats."""
+    values = np.sort(values)
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return values[new]
+
+
 class MergeReplay:
     """Encodes blocks of words from a pair table and the symbol of each byte (and of a last byte)."""
 
@@ -157,7 +165,7 @@ class MergeReplay:
             if not len(at):
                 continue
             if len(at) > 1:
-                at = np.unique(at)
+                at = distinct(at)
                 run = np.zeros(len(at), bool)
                 run[1:] = nxt[at[:-1]] == at[1:]
                 if run.any():  # overlapping pairs such as aaa: the leftmost goes first
@@ -176,7 +184,7 @@ class MergeReplay:
             touched = np.concatenate((at[right], left[left >= 0]))
             if len(touched):
                 if len(touched) > 1:
-                    touched = np.unique(touched)
+                    touched = distinct(touched)
                 new = note(touched)
                 if len(new) and new.min() < r:
                     odd.append(touched[rank[touched] < r])
