@@ -44,6 +44,19 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {q.__name__: q for q in (op1_toxicity, op2_byte_bpe, op3_language, op6_simhash)}
+def op7_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ppm import score
+
+    scored = score(read(spark, sf_dir, "documents"), _rest(5) != 1)
+    return scored.select("doc_id", (_rest(5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+QUERIES = {q.__name__: q for q in (op1_toxicity, op2_byte_bpe, op3_language, op6_simhash, op7_ppm, op8_packing)}
 
 SQL: dict[str, str] = {}
