@@ -37,6 +37,13 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, path, model).select("doc_id", (_rest(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .content import fit, main_text
+
+    pages = read(spark, sf_dir, "pages")
+    return main_text(pages, fit(pages)).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -57,6 +64,6 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {q.__name__: q for q in (op1_toxicity, op2_byte_bpe, op3_language, op6_simhash, op7_ppm, op8_packing)}
+QUERIES = {q.__name__: q for q in (op1_toxicity, op2_byte_bpe, op3_language, op4_main_text, op6_simhash, op7_ppm, op8_packing)}
 
 SQL: dict[str, str] = {}
