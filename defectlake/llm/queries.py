@@ -44,6 +44,12 @@ def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(pages, fit(pages)).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import links
+
+    return links(read(spark, sf_dir, "embeddings"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -64,6 +70,39 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {q.__name__: q for q in (op1_toxicity, op2_byte_bpe, op3_language, op4_main_text, op6_simhash, op7_ppm, op8_packing)}
-
-SQL: dict[str, str] = {}
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bitslice import top_k
+
+    return top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {q.__name__: q for q in (op1_toxicity, op2_byte_bpe, op3_language, op4_main_text, op5_vectors, op6_simhash, op7_ppm, op8_packing, op10_top_k)}
+
+_FINE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
+
+SQL: dict[str, str] = {
+    "op5_vectors": f"""
+        WITH RECURSIVE u AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+            WHERE {_FINE} AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), l AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b
+            ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95
+        ), r(a, b) AS (
+            SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+        ), c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
+        n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+        SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+        FROM embeddings e JOIN c ON c.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id""",
+    "op10_top_k": f"""
+        WITH e AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings WHERE vec_id IS NOT NULL AND {_FINE}
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+            FROM e q JOIN e c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+        )
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM s QUALIFY rank <= 10""",
+}
