@@ -20,11 +20,27 @@ from pyspark.sql import functions as F
 from .common import Shelf, texts_of
 
 #: Characters of a block of documents; words of a scoring task; windows of all tries together.
-BLOCK_CHARS, TASK_WORDS, MOST_WINDOWS = 20 << 20, 250_000, 4_000_000
+BLOCK_CHARS, TASK_WORDS, MOST_WINDOWS = 14 << 20, 200_000, 4_000_000
+CHUNK = 20_000
 END = b"\n"
 _LOG10 = np.log(10.0)
 
 
+def squeeze(values: np.ndarray, kind: str, steps: bool = False) -> bytes:
+    """Compressed bytes of an array; with `steps`, of the differences of whole numbers."""
+    import zstandard
+
+    values = values.astype(kind)
+    return zstandard.compress((np.diff(values, prepend=values.dtype.type(0)) if steps else values).tobytes(), 1)
+
+
+def loosen(data: bytes, kind: str, steps: bool = False) -> np.ndarray:
+    import zstandard
+
+    values = np.frombuffer(zstandard.decompress(data), kind)
+    return np.cumsum(values, dtype=values.dtype) if steps else values
+
+
 def tokens_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
@@ -179,8 +195,8 @@ def _count(groups: int):
         own, times, n = [], [], []
         for at in ats:
             u, c = np.unique(at, return_counts=True)
-            own.append(u.astype("<i4").tobytes())
-            times.append(c.astype("<i4").tobytes())
+            own.append(squeeze(u, "<i4", True))
+            times.append(squeeze(c, "<i4"))
             n.append(len(at) + 1)
         names = ["block", "doc_id", "n_tokens", "own", "times", "at", "word", "n"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
@@ -277,7 +293,7 @@ def _least_count(found: DataFrame) -> int:
     return min(least, 1)
 
 
-_tries: dict[int, list[Trie]] = {}
+_tries: dict = {}
 
 
 def _price(model, groups: int):
@@ -296,32 +312,32 @@ def _price(model, groups: int):
             return
         block, at, word, n = map(np.concatenate, (block, at, word, n))
         total = np.column_stack([np.bincount(word, n[:, g], len(number)) for g in range(groups)])
-        logs = log_words(list(number), total, model.value, model.id if hasattr(model, "id") else 0)
+        logs = log_words(list(number), total, model.value)
         c = total.sum(1).astype("<i8")
-        order = np.argsort(block, kind="stable")
+        order = np.lexsort((at, block))
         blocks, begin = np.unique(block[order], return_index=True)
         parts = np.split(order, begin[1:])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(blocks), pa.array([at[p].astype("<i4").tobytes() for p in parts], pa.binary()), pa.array([c[word[p]].tobytes() for p in parts], pa.binary()), pa.array([logs[word[p]].astype("<f4").tobytes() for p in parts], pa.binary())],
+            [pa.array(blocks), pa.array([squeeze(at[p], "<i4", True) for p in parts], pa.binary()), pa.array([squeeze(c[word[p]], "<i8") for p in parts], pa.binary()), pa.array([squeeze(logs[word[p]], "<f4") for p in parts], pa.binary())],
             ["block", "at", "c", "logs"],
         )
 
     return run
 
 
-def log_words(words: list[bytes], total: np.ndarray, model, key: int = 0) -> np.ndarray:
+def log_words(words: list[bytes], total: np.ndarray, model) -> np.ndarray:
     """Log10 probability of each word under each class."""
     order, tries, size, kinds, _ = model
     if _tries.get("key") is not model:
         _tries.clear()
         _tries["key"], _tries["tries"] = model, [Trie(k, n, order) for k, n in tries]
     out = np.zeros(total.shape)
-    for first in range(0, len(words), 50_000):
-        part = slice(first, first + 50_000)
+    for first in range(0, len(words), CHUNK):
+        part = slice(first, first + CHUNK)
         key_, word = windows(words[part], order)
         u, inverse = np.unique(key_, return_inverse=True)
         for g, trie in enumerate(_tries["tries"]):
-            n = min(50_000, len(words) - first)
+            n = min(CHUNK, len(words) - first)
             spelled = np.bincount(word, trie.log10(u)[inverse], n)
             escape = max(1, kinds[g])
             out[part, g] = np.log10(total[part, g] + escape * np.power(10.0, np.maximum(spelled, -290))) - np.log10(size[g] + escape)
@@ -334,9 +350,9 @@ def _sum_up(base: dict, ends: list[int], model, groups: int, shares: np.ndarray)
     room = base["tokens"] + 0.5 * (base["kinds"] + 1)
 
     def run(texts: pa.Table, scored: pa.Table) -> pa.Table:
-        at = np.concatenate([np.frombuffer(x, "<i4") for x in scored["at"].to_pylist()] or [np.zeros(0, np.int32)])
-        c = np.concatenate([np.frombuffer(x, "<i8") for x in scored["c"].to_pylist()] or [np.zeros(0, np.int64)])
-        logs = np.concatenate([np.frombuffer(x, "<f4") for x in scored["logs"].to_pylist()] or [np.zeros(0, np.float32)]).reshape(-1, groups)
+        at = np.concatenate([loosen(x, "<i4", True) for x in scored["at"].to_pylist()] or [np.zeros(0, np.int32)])
+        c = np.concatenate([loosen(x, "<i8") for x in scored["c"].to_pylist()] or [np.zeros(0, np.int64)])
+        logs = np.concatenate([loosen(x, "<f4") for x in scored["logs"].to_pylist()] or [np.zeros(0, np.float32)]).reshape(-1, groups)
         place = np.zeros(len(at), np.int64)
         place[at] = np.arange(len(at))
         c, logs = c[place], logs[place].astype(float)
@@ -346,7 +362,7 @@ def _sum_up(base: dict, ends: list[int], model, groups: int, shares: np.ndarray)
         prior = np.where(shares > 0, np.log10(np.maximum(shares, 1e-300)), -np.inf)
         known, flat, mixed = [], [], []
         for own, times in zip(texts["own"].to_pylist(), texts["times"].to_pylist(), strict=True):
-            own, times = np.frombuffer(own, "<i4"), np.frombuffer(times, "<i4").astype(float)
+            own, times = loosen(own, "<i4", True), loosen(times, "<i4").astype(float)
             known.append(int(times[c[own] > 0].sum()) + (sum(ends) > 0))
             flat.append(float(times @ plain[own] + end_base))
             by = prior + times @ logs[own] + end
