@@ -12,30 +12,48 @@ from .common import Shelf, connected_components, texts_of
 SEED = 42
 
 
-def fingerprint(text: str, words: int = 4) -> int:
-    """The 64-bit SimHash of a text, as unsigned.
+def lanes_of(text: str, words: int = 4, lanes: int = 1, repeats: bool = True) -> np.ndarray:
+    """The SimHash of a text in `lanes` unsigned 64-bit words, the first from XXH64 itself.
 
     Words are runs of anything but ASCII white space, after lower-casing A-Z; a bit is set if more
-    than half of the shingles' hashes (repeats included) have it. No word: zero.
+    than half of the shingles' hashes (with repeats, or of the distinct ones) have it. No word: zero. Further lanes mix
+    the same hashes, so a shingle is hashed once.
     """
     from xxhash import xxh64_intdigest
 
     parts = text.encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return 0
+        return np.zeros(lanes, np.uint64)
     whole = b" ".join(parts)
     if len(parts) <= words:
-        return xxh64_intdigest(whole, SEED)
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
-    begins = np.concatenate(([0], ends[: -words])).tolist()
-    stops = (ends[words - 1 :] - 1).tolist()
-    n = len(stops)
-    hashes = np.fromiter((xxh64_intdigest(whole[a:b], SEED) for a, b in zip(begins, stops, strict=True)), np.uint64, n)
-    votes = np.zeros(64, np.int64)
-    for k in range(0, n, 1 << 14):
-        bits = np.unpackbits(hashes[k : k + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        votes += bits.sum(0, dtype=np.int64)
-    return int(np.packbits(votes * 2 > n, bitorder="little").view("<u8")[0])
+        hashes = np.array([xxh64_intdigest(whole, SEED)], np.uint64)
+    else:
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
+        begins = np.concatenate(([0], ends[:-words])).tolist()
+        stops = (ends[words - 1 :] - 1).tolist()
+        hashes = np.fromiter((xxh64_intdigest(whole[a:b], SEED) for a, b in zip(begins, stops, strict=True)), np.uint64, len(stops))
+    if not repeats:
+        hashes = np.sort(hashes)
+        hashes = hashes[np.append(True, hashes[1:] != hashes[:-1])]
+    out = np.zeros(lanes, np.uint64)
+    for lane in range(lanes):
+        if lane:  # the finaliser of splitmix64
+            x = hashes + np.uint64(lane * 0x9E3779B97F4A7C15 % 2**64)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            x ^= x >> np.uint64(31)
+        else:
+            x = hashes
+        votes = np.zeros(64, np.int64)
+        for k in range(0, len(x), 1 << 14):
+            bits = np.unpackbits(x[k : k + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            votes += bits.sum(0, dtype=np.int64)
+        out[lane] = np.packbits(votes * 2 > len(x), bitorder="little").view("<u8")[0]
+    return out
+
+
+def fingerprint(text: str, words: int = 4) -> int:
+    return int(lanes_of(text, words)[0])
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
@@ -104,10 +122,80 @@ def near_duplicates(docs: DataFrame, bits: int = 4, words: int = 4, segments: in
     return fps.join(named, "fp")
 
 
-def keep_first(docs: DataFrame, bits: int = 4, words: int = 4, segments: int = 3) -> DataFrame:
+#: Lanes whose complete distance is verified, at least: 1024 bits tell 0.8 from 0.75 at most times.
+LANES = 16
+
+
+def plan_segments(n: int, similarity: float, recall: float = 0.98) -> tuple[int, int, int, float]:
+    """Width and number of segments, lanes, and the expected share of differing bits.
+
+    Two sets of Jaccard similarity s have cosine 2s/(1+s), hence differ in the share
+    acos(cosine)/pi of random bits. The width follows the number of fingerprints, so that chance
+    matches per look-up stay few at any size; the number of segments is what then finds a pair at
+    the limit of similarity with probability `recall` by segments that differ in at most one bit.
+    """
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    width = int(np.clip(np.ceil(np.log2(max(2, n))) - 2, 16, 32))
+    near = (1 - share) ** width + width * share * (1 - share) ** (width - 1)
+    segments = int(np.ceil(np.log(1 - recall) / np.log(1 - near)))
+    return width, segments, max(LANES, -(-segments // (64 // width))), share
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
+    """doc_id and component_id of documents linked by estimated shingle similarity.
+
+    Wide fingerprints are looked up by Hamming balls of radius one in each segment; candidates are
+    first filtered by one lane, then verified by their complete distance, with half a
+    standard deviation of slack over the expected one. Equal fingerprints are one vertex. Null and empty
+    texts have fingerprint zero and are copies of each other.
+    """
+    shelf = Shelf(docs.sparkSession)
+    n = docs.count()
+    width, segments, lanes, share = plan_segments(n, similarity)
+
+    def run(batches):
+        for batch in batches:
+            fps = [lanes_of(t, words, lanes, repeats=False).view(np.int64).tolist() for t in texts_of(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "fp"])
+
+    fps = shelf.put(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp array<long>"))
+    distinct = shelf.put(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    per = 64 // width
+    mask, bits = F.lit((1 << width) - 1).cast("long"), 64 * lanes
+    # all three bounds leave room for chance in what the share of differing bits says
+    limit = int(round(bits * share + 0.5 * np.sqrt(bits * share * (1 - share))))
+    lane_limit = int(round(64 * share + 3.5 * np.sqrt(64 * share * (1 - share))))
+
+    def key(s: int):
+        return F.shiftrightunsigned(F.col("fp")[s // per], (s % per) * width).bitwiseAND(mask)
+
+    def tagged(s: int, k):
+        return k * F.lit(segments) + F.lit(s)
+
+    def ball(s: int):
+        own = key(s)
+        flips = F.array(*[F.lit(1 << i).cast("long") for i in range(width)])
+        unset = F.filter(flips, lambda m: own.bitwiseAND(m) == 0)
+        return F.transform(unset, lambda m: tagged(s, own.bitwiseOR(m)))
+
+    keys = [F.array(tagged(s, key(s))) for s in range(segments)]
+    lane = F.col("fp")[0]
+    stored = distinct.select(F.col("first").alias("a"), lane.alias("x"), F.explode(F.concat(*keys)).alias("key"))
+    probes = distinct.select(F.col("first").alias("b"), lane.alias("y"), F.explode(F.concat(*keys, *[ball(s) for s in range(segments)])).alias("key"))
+    near = stored.join(probes, "key").filter((F.col("a") != F.col("b")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= lane_limit))
+    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    whole = near.join(distinct.select(F.col("first").alias("a"), F.col("fp").alias("p")), "a").join(distinct.select(F.col("first").alias("b"), F.col("fp").alias("q")), "b")
+    distance = sum((F.bit_count(F.col("p")[i].bitwiseXOR(F.col("q")[i])) for i in range(lanes)), F.lit(0))
+    groups = connected_components(shelf, whole.filter(distance <= limit).select("a", "b"))
+    named = distinct.join(groups, F.col("first") == F.col("node"), "left")
+    named = shelf.put(named.select("fp", F.coalesce("component", "first").alias("component_id")))
+    return fps.join(named, "fp").select("doc_id", "component_id")
+
+
+def keep_first(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
     """The document of smallest doc_id of each near-duplicate group, with its columns.
 
-    Of repeated rows with one doc_id all stay together.
+    Of repeated rows with one doc_id all stay together; rows without doc_id stay.
     """
-    kept = near_duplicates(docs, bits, words, segments).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    gone = similar_groups(docs, similarity, words).filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti")
