@@ -70,13 +70,22 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op9_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import captures, resolve
+
+    found = resolve(captures(read(spark, sf_dir, "pages")))
+    pairs = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    seconds = F.unix_timestamp("date"), F.unix_timestamp("response_date")
+    return found.select("record_id", "url_key", seconds[0].alias("seconds"), "response_id", seconds[1].alias("response_seconds"), "outcome", F.array_join(pairs, "; ").alias("merged"))
+
+
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bitslice import top_k
 
     return top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
-QUERIES = {q.__name__: q for q in (op1_toxicity, op2_byte_bpe, op3_language, op4_main_text, op5_vectors, op6_simhash, op7_ppm, op8_packing, op10_top_k)}
+QUERIES = {q.__name__: q for q in (op1_toxicity, op2_byte_bpe, op3_language, op4_main_text, op5_vectors, op6_simhash, op7_ppm, op8_packing, op9_revisits, op10_top_k)}
 
 _FINE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
 
@@ -94,6 +103,43 @@ SQL: dict[str, str] = {
         n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
         SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
         FROM embeddings e JOIN c ON c.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id""",
+    "op9_revisits": """
+        WITH b AS (
+            SELECT page_id AS p, 'md5:' || md5(coalesce(html, '')) AS digest, regexp_replace(trim(url, ' '), '#.*$', '') AS u
+            FROM pages WHERE page_id IS NOT NULL
+        ), k AS (
+            SELECT p, digest, u, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme,
+                lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
+                regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*:([0-9]+)(?:[/?#]|$)', 1) AS port,
+                regexp_replace(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', '') AS rest
+            FROM b
+        ), c AS (
+            SELECT p, digest, CASE WHEN u = '' THEN NULL WHEN scheme = '' THEN u ELSE
+                scheme || '://' || regexp_replace(host, '[.]$', '')
+                || CASE WHEN (scheme = 'http' AND port = '80') OR (scheme = 'https' AND port = '443') OR port = '' THEN '' ELSE ':' || port END
+                || CASE WHEN split_part(rest, '?', 1) = '' THEN '/' ELSE split_part(rest, '?', 1) END
+                || CASE WHEN regexp_extract(rest, '^[^?]*[?](.*)$', 1) = '' THEN '' ELSE '?' || array_to_string(
+                    list_sort(list_filter(string_split(regexp_extract(rest, '^[^?]*[?](.*)$', 1), '&'), lambda x: x <> '')), '&') END
+                END AS url_key
+            FROM k
+        ), v AS (
+            SELECT p, url_key, digest, visit, p * 4 + visit AS record_id, (((p % 5) + 5) % 5) + visit AS day,
+                1704067200 + ((((p % 5) + 5) % 5) + visit) * 86400 + ((p % 86400) + 86400) % 86400 AS seconds,
+                CASE WHEN p % 7 = 0 THEN NULL WHEN visit > 0 AND (p + visit) % 11 = 0 THEN '"other"' ELSE 'W/"' || digest || '"' END AS etag
+            FROM c, (SELECT unnest([0, 1, 2, 3]) AS visit)
+        ), m AS (
+            SELECT r.*, f.record_id AS response_id, f.seconds AS response_seconds, f.etag AS old_etag, f.visit AS old_visit
+            FROM v r LEFT JOIN v f ON f.visit = 0 AND f.url_key = r.url_key AND f.seconds < r.seconds WHERE r.visit > 0
+            QUALIFY row_number() OVER (PARTITION BY r.record_id ORDER BY f.seconds DESC NULLS LAST, f.record_id DESC) = 1
+        ), o AS (
+            SELECT *, CASE WHEN response_id IS NULL THEN 'orphan' WHEN etag IS NULL OR old_etag IS NULL THEN 'unverified'
+                WHEN regexp_replace(etag, '^[Ww]/', '') = regexp_replace(old_etag, '^[Ww]/', '') THEN 'resolved' ELSE 'mismatch' END AS outcome
+            FROM m
+        )
+        SELECT record_id, url_key, seconds, response_id, response_seconds, outcome,
+            CASE WHEN outcome IN ('resolved', 'unverified') THEN 'cache-control=max-age=' || visit || '; content-length=' || old_visit || '; date=' || day
+                || CASE WHEN coalesce(etag, old_etag) IS NULL THEN '' ELSE '; etag=' || coalesce(etag, old_etag) END END AS merged
+        FROM o""",
     "op10_top_k": f"""
         WITH e AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
