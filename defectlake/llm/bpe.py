@@ -5,22 +5,20 @@ from __future__ import annotations
 import gc
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import texts_of
+from .common import keep_one, texts_of
 from .merges import MergeReplay, load_ranks
 
 #: Words kept per worker between blocks; beyond it the cache starts anew. Affects speed only.
 CACHE_WORDS = 400_000
 
 
-@lru_cache(2)
 def _codec(path: str, pattern: str) -> "Codec":
-    return Codec(path, pattern)
+    return keep_one(("bpe", path, pattern), lambda: Codec(path, pattern))
 
 
 class Codec:

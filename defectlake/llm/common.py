@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -55,6 +57,25 @@ class Shelf:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_kept: dict = {}
+
+
+def keep_one(key, make):
+    """The value of `key` in this Python worker, made when asked for first.
+
+    Workers are reused by later stages, so only one operator's tables stay: a new key drops others.
+    """
+    if key not in _kept:
+        _kept.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):
+            pass
+        _kept[key] = make()
+    return _kept[key]
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The whole texts of a batch; null is the empty text."""
     return [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]

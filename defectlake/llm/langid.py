@@ -3,20 +3,19 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import keep_one, texts_of
 from .merges import NONE, KeyTable
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 #: Longest piece in characters, longest word of the array form, words per array block, words kept.
-PIECE, WORD, BLOCK, CACHE = 12, 40, 20_000, 300_000
+PIECE, WORD, BLOCK, CACHE = 12, 40, 8_000, 250_000
 _BASE = np.uint64(0x100000001B3)
 _FLOOR = 1e-7
 
@@ -25,8 +24,11 @@ def words_of(text: str) -> list[str]:
     return [w for w in LETTERS.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))]
 
 
-@lru_cache(2)
 def _vocabulary(path: str):
+    return keep_one(("pieces", path), lambda: _load(path))
+
+
+def _load(path: str):
     """The processor, its pieces of up to PIECE characters without byte and control pieces."""
     import sentencepiece
 
@@ -39,7 +41,7 @@ class Scorer:
     """Log probability of words under each language, by the forward algorithm."""
 
     def __init__(self, path: str, probs: np.ndarray) -> None:
-        _, pieces = _vocabulary(path)
+        _, pieces = _load(path)
         self.langs = probs.shape[1]
         self.sizes = sorted({len(p) for p in pieces if p})
         self.tables: dict[int, KeyTable] = {}
@@ -172,9 +174,6 @@ def fit(docs: DataFrame, path: str, per_lang: int = 4000, smooth: float = 2000.0
     return langs, prior, probs
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def predict(docs: DataFrame, path: str, model: tuple[list[str], np.ndarray, np.ndarray]) -> DataFrame:
     """doc_id, lang_pred and score, the posterior of the predicted language.
 
@@ -214,10 +213,7 @@ def _predictor(spark, path: str, model):
     def run(texts: list[str]) -> tuple[list[str], list[float]]:
         if not langs:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(path, shared.value)
-        scorer = _scorers[key]
+        scorer = keep_one(("languages", key), lambda: Scorer(path, shared.value))
         lang, score = [], []
         begin = 0
         while begin < len(texts):  # blocks of bounded size

@@ -5,26 +5,24 @@ from __future__ import annotations
 import gc
 import itertools
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import texts_of
+from .common import keep_one, texts_of
 from .merges import MergeReplay
 
 WINDOW = 2048
 #: Words kept per worker; characters and documents of one BM25 shard; terms asked and neighbours fetched per query.
-CACHE_WORDS, SHARD_CHARS, SHARD_DOCS, TERMS, NEIGHBOURS = 900_000, 12 << 20, 4096, 12, 8
+CACHE_WORDS, SHARD_CHARS, SHARD_DOCS, TERMS, NEIGHBOURS = 400_000, 8 << 20, 4096, 12, 8
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-@lru_cache(2)
 def _tokens(path: str) -> "WordTokens":
-    return WordTokens(path)
+    return keep_one(("words", path), lambda: WordTokens(path))
 
 
 class WordTokens:
@@ -46,6 +44,19 @@ class WordTokens:
         self.piece_ids, self.piece_begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
         self.at: dict[str, int] = {}
         self.flat, self.begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.uses = np.zeros(0, np.int64)
+
+    def shrink(self) -> None:
+        """Forget pieces, and the words used least, so that at most half of CACHE_WORDS stay."""
+        words, uses = list(self.at), self.uses
+        least = 2
+        while np.count_nonzero(uses >= least) > CACHE_WORDS // 2:
+            least *= 2
+        keep = np.flatnonzero(uses >= least)
+        flat, size = spread(self.flat, self.begin, keep)
+        self.clear()
+        self.at = dict(zip([words[k] for k in keep.tolist()], range(len(keep)), strict=True))
+        self.flat, self.begin, self.uses = flat, np.concatenate(([0], np.cumsum(size))), uses[keep] // 2
 
     def whole(self, text: str) -> np.ndarray:
         if self.library is None:
@@ -84,7 +95,7 @@ class WordTokens:
     def encode(self, texts: list[str], last: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of each text, then `last`; and the numbers of its words, as terms."""
         if len(self.at) > CACHE_WORDS:
-            self.clear()
+            self.shrink()
         absent = itertools.repeat(-1)
         terms: list[np.ndarray] = []
         missing: list[str] = []
@@ -107,6 +118,9 @@ class WordTokens:
             for at, gap in zip(terms, places, strict=True):
                 at[gap] = found[done : done + len(gap)]
                 done += len(gap)
+        uses = np.bincount(np.concatenate(terms), minlength=len(self.at)) if terms else np.zeros(len(self.at), np.int64)
+        uses[: len(self.uses)] += self.uses
+        self.uses = uses
         ids = []
         for text, at in zip(texts, terms, strict=True):
             odd = any(c in text for c in "\x1c\x1d\x1e\x1f") if text.isascii() else self.odd.search(text)

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shelf, texts_of
+from .common import Shelf, keep_one, texts_of
 
 #: Characters of a block of documents; words of a scoring task; windows of all tries together.
 BLOCK_CHARS, TASK_WORDS, MOST_WINDOWS = 14 << 20, 200_000, 4_000_000
@@ -293,9 +293,6 @@ def _least_count(found: DataFrame) -> int:
     return min(least, 1)
 
 
-_tries: dict = {}
-
-
 def _price(model, groups: int):
     """All rows of a word lie in one task: sum its counts, score it once, answer each block in one row."""
 
@@ -328,15 +325,13 @@ def _price(model, groups: int):
 def log_words(words: list[bytes], total: np.ndarray, model) -> np.ndarray:
     """Log10 probability of each word under each class."""
     order, tries, size, kinds, _ = model
-    if _tries.get("key") is not model:
-        _tries.clear()
-        _tries["key"], _tries["tries"] = model, [Trie(k, n, order) for k, n in tries]
+    made = keep_one(("tries", id(model)), lambda: (model, [Trie(k, n, order) for k, n in tries]))[1]
     out = np.zeros(total.shape)
     for first in range(0, len(words), CHUNK):
         part = slice(first, first + CHUNK)
         key_, word = windows(words[part], order)
         u, inverse = np.unique(key_, return_inverse=True)
-        for g, trie in enumerate(_tries["tries"]):
+        for g, trie in enumerate(made):
             n = min(CHUNK, len(words) - first)
             spelled = np.bincount(word, trie.log10(u)[inverse], n)
             escape = max(1, kinds[g])

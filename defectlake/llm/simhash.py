@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shelf, connected_components, texts_of
+from .common import Shelf, connected_components, keep_one, texts_of
 
 SEED = 42
 
@@ -60,6 +60,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     """doc_id and its fingerprint as a signed long of the same bits."""
 
     def run(batches):
+        keep_one("fingerprints", dict)
         for batch in batches:
             fp = np.array([fingerprint(t, words) for t in texts_of(batch)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
@@ -154,6 +155,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5) ->
     width, segments, lanes, share = plan_segments(n, similarity)
 
     def run(batches):
+        keep_one("fingerprints", dict)
         for batch in batches:
             fps = [lanes_of(t, words, lanes, repeats=False).view(np.int64).tolist() for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "fp"])

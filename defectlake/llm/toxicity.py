@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shelf, texts_of
+from .common import Shelf, keep_one, texts_of
 
 _LOOKALIKES = dict(
     zip(
@@ -226,6 +226,7 @@ def keep_clean(docs: DataFrame, model: Model, limit: float = 0.3) -> DataFrame:
     schema = docs.schema
 
     def run(batches):
+        keep_one("lexicon", dict)
         for batch in batches:
             yield batch.filter(pa.array([model.score(t) < limit for t in texts_of(batch)], pa.bool_()))
 
