@@ -54,8 +54,11 @@ def near_pairs(hashes: DataFrame, threshold: int = 4, bits: int = 64) -> DataFra
     width = [bits // bands + (k < bits % bands) for k in range(bands)]
     start = [sum(width[:k]) for k in range(bands)]
 
+    def word(value: int) -> Column:
+        return F.lit(value - (1 << 64) if value >> 63 else value).cast("long")
+
     def band(k: int) -> Column:
-        return F.shiftrightunsigned("hash", start[k]).bitwiseAND(F.lit((1 << width[k]) - 1).cast("long"))
+        return F.shiftrightunsigned("hash", start[k]).bitwiseAND(word((1 << width[k]) - 1))
 
     def key(k: int, value: Column) -> Column:
         return F.struct(F.lit(k).alias("k"), value.alias("v"))
@@ -64,7 +67,7 @@ def near_pairs(hashes: DataFrame, threshold: int = 4, bits: int = 64) -> DataFra
     stored = distinct.select(F.explode(F.array(*[key(k, band(k)) for k in range(bands)])).alias("key"), "hash")
     asks = [key(k, band(k)) for k in range(bands)]
     if threshold:
-        asks += [key(k, band(k).bitwiseXOR(F.lit(1 << i).cast("long"))) for k in range(bands) for i in range(width[k])]
+        asks += [key(k, band(k).bitwiseXOR(word(1 << i))) for k in range(bands) for i in range(width[k])]
     asked = distinct.select(F.explode(F.array(*asks)).alias("key"), F.col("hash").alias("near"))
     met = stored.join(asked, "key").filter(hamming(F.col("hash"), F.col("near")) <= threshold).select("hash", "near").distinct()
     a, b = hashes.select(F.col("hash"), F.col("id")), hashes.select(F.col("hash").alias("near"), F.col("id").alias("other"))
