@@ -21,7 +21,7 @@ _LOOKALIKES = dict(
     )
 )
 _DIGITS = dict(zip("013457@$", "oieast" + "as", strict=True))
-_INSIDE = re.compile(r"(?<=\w)[@$](?=\w)")
+_INSIDE = re.compile(r"(?<=\w)[@$]+(?=\w)")
 
 
 class _Fold(dict):
@@ -47,7 +47,7 @@ for _c in "@$":
 def fold(text: str) -> list[str]:
     """The folded words of a text; @ and $ count as letters only between letters or digits."""
     if "@" in text or "$" in text:
-        text = _INSIDE.sub(lambda m: _DIGITS[m[0]], text)
+        text = _INSIDE.sub(lambda m: "".join(map(_DIGITS.get, m[0])), text)
     return text.translate(_FOLD).split()
 
 
