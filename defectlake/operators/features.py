@@ -1,95 +1,90 @@
-"""Sixteen features of an image and its mask, per gray channel or per colour."""
+"""Features of an image and its mask, and how widely they spread over a dataset.
+
+Features read neighbourhoods of pixels, for which array functions would be interpreted cell by cell;
+one Arrow pass with NumPy is tens of times faster, and holds one image at a time.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import at, positions, ratio
-from .measures import _mirror, area, bbox
+SHAPE = ["area_ratio", "aspect_ratio", "grad_mag_boundary", "contrast"]
 
 
-def _moments(values: Column) -> tuple[Column, Column]:
-    n = F.size(values).cast("long")
-    s = F.aggregate(values, F.lit(0).cast("long"), lambda a, v: a + v)
-    q = F.aggregate(values, F.lit(0).cast("long"), lambda a, v: a + v.cast("long") * v)
-    return ratio(s, n), ratio(F.sqrt((n * q - s * s).cast("double")), n)
+def names(channels: list[str]) -> list[str]:
+    return [f"{part}_{c}_{m}" for c in channels for part in ("defect", "background") for m in ("mean", "std")] + SHAPE
 
 
-def _stencil(px: Column, i: Column, width: Column, height: Column) -> list[list[Column]]:
-    x, y = i % width, (i / width).cast("int")
-    return [[at(px, _mirror(y + dy, height) * width + _mirror(x + dx, width)) for dx in (-1, 0, 1)] for dy in (-1, 0, 1)]
+def gradient(gray: np.ndarray) -> np.ndarray:
+    """Sobel magnitude, borders mirrored."""
+    p = np.pad(gray.astype(float), 1, mode="reflect" if min(gray.shape) > 1 else "edge")
+    rows = p[:-2] + 2 * p[1:-1] + p[2:]
+    columns = p[:, :-2] + 2 * p[:, 1:-1] + p[:, 2:]
+    return np.hypot(rows[:, 2:] - rows[:, :-2], columns[2:] - columns[:-2])
 
 
-def gradient(px: Column, i: Column, width: Column, height: Column) -> Column:
-    """Sobel magnitude at index i."""
-    (a, b, c), (d, _, f), (g, h, k) = _stencil(px, i, width, height)
-    gx = (c + 2 * f + k) - (a + 2 * d + g)
-    gy = (g + 2 * h + k) - (a + 2 * b + c)
-    return F.sqrt((gx * gx + gy * gy).cast("double"))
+def boundary(mask: np.ndarray) -> np.ndarray:
+    """Where the mask differs within 3 by 3, cut at the image's edge."""
+    p = np.pad(mask, 1, mode="edge")
+    parts = [p[y : y + mask.shape[0], x : x + mask.shape[1]] for y in range(3) for x in range(3)]
+    return np.logical_or.reduce(parts) & ~np.logical_and.reduce(parts)
 
 
-def on_boundary(mask: Column, i: Column, width: Column, height: Column) -> Column:
-    """Whether the mask differs within the 3 by 3 window around index i, cut at the image's edge."""
-    x, y = i % width, (i / width).cast("int")
-    cells = []
-    for dy in (-1, 0, 1):
-        for dx in (-1, 0, 1):
-            inside = (x + dx >= 0) & (x + dx < width) & (y + dy >= 0) & (y + dy < height)
-            cells.append(F.when(inside, (at(mask, (y + dy) * width + x + dx) != 0).cast("int")))
-    return F.greatest(*cells) != F.least(*cells)
+def of_image(channels: list[np.ndarray], mask: np.ndarray) -> list[float]:
+    """The features in the order of `names`; zeros for regions without pixels."""
+    h, w = mask.shape
+    out, inside, outside = [], [], []
+    for px in channels:
+        for part, means in ((px[mask], inside), (px[~mask], outside)):
+            m, s = (float(part.mean()), float(part.std())) if part.size else (0.0, 0.0)
+            out += [m, s]
+            means.append(m)
+    gray = np.rint(0.114 * channels[0] + 0.587 * channels[1] + 0.299 * channels[2]) if len(channels) == 3 else channels[0]
+    rows, columns = np.flatnonzero(mask.any(1)), np.flatnonzero(mask.any(0))
+    aspect = (columns[-1] - columns[0] + 1) / (rows[-1] - rows[0] + 1) if len(rows) else 0.0
+    edge = boundary(mask)
+    steep = float(gradient(gray)[edge].mean()) if edge.any() else 0.0
+    some = mask.any() and not mask.all()
+    return [*out, float(mask.mean()), float(aspect), steep, abs(float(np.mean(inside)) - float(np.mean(outside))) if some else 0.0]
 
 
 def extract(images: DataFrame, channels: dict[str, str] | None = None) -> DataFrame:
     """id and the features: mean and deviation of each channel inside and outside of the mask,
     area ratio, box aspect, mean gradient on the mask's boundary, and contrast between the two.
 
-    `channels` maps feature names to columns of pixel arrays; gray images have the one `px`.
-    Regions without pixels give zeros.
+    `channels` maps feature names to columns of pixel arrays, three in the order blue, green, red;
+    gray images have the one `px`. Images whose arrays are null or of another size give zeros.
     """
     channels = channels or {"gray": "px"}
-    w, h, mask = F.col("width"), F.col("height"), F.col("mask")
-    out, insides, outsides = [], [], []
-    for name, column in channels.items():
-        px = F.col(column)
-        inside = F.filter(F.zip_with(px, mask, lambda v, m: F.when(m != 0, v)), lambda v: v.isNotNull())
-        outside = F.filter(F.zip_with(px, mask, lambda v, m: F.when(m == 0, v)), lambda v: v.isNotNull())
-        (im, isd), (om, osd) = _moments(inside), _moments(outside)
-        out += [im.alias(f"defect_{name}_mean"), isd.alias(f"defect_{name}_std"), om.alias(f"background_{name}_mean"), osd.alias(f"background_{name}_std")]
-        insides.append(im)
-        outsides.append(om)
-    gray = F.col(next(iter(channels.values())))
-    if len(channels) == 3:
-        b, g, r = (F.col(c) for c in channels.values())
-        gray = F.zip_with(F.zip_with(b, g, lambda x, y: x * 0.114 + y * 0.587), r, lambda x, y: F.round(x + y * 0.299).cast("int"))
-    box = bbox(mask, w)
-    edge = F.filter(F.sequence(F.lit(0), F.size(mask) - 1), lambda i: on_boundary(mask, i, w, h))
-    steep = F.transform(edge, lambda i: gradient(gray, i, w, h))
-    n = len(channels)
-    some = (area(mask) > 0) & (area(mask) < F.size(mask))
-    gap = sum(insides[1:], insides[0]) / n - sum(outsides[1:], outsides[0]) / n
-    return images.select(
-        "id",
-        *out,
-        ratio(area(mask), w * h).alias("area_ratio"),
-        ratio(box["w"], box["h"]).alias("aspect_ratio"),
-        ratio(F.aggregate(steep, F.lit(0.0), lambda a, v: a + v), F.size(steep)).alias("grad_mag_boundary"),
-        F.when(some, F.abs(gap)).otherwise(0.0).alias("contrast"),
-    )
+    columns = names(list(channels))
+
+    def run(batches):
+        for batch in batches:
+            lists = [(batch.column(k).values.to_numpy(zero_copy_only=False), batch.column(k).offsets.to_numpy(), batch.column(k).is_null().to_numpy(zero_copy_only=False)) for k in range(3, batch.num_columns)]
+            rows = np.zeros((batch.num_rows, len(columns)))
+            for i, (w, h) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                parts = [v[o[i] : o[i + 1]] for v, o, null in lists if not null[i]]
+                if w and h and len(parts) == len(lists) and all(len(p) == w * h for p in parts):
+                    mask, *px = (p.reshape(h, w) for p in parts)
+                    rows[i] = of_image(px, mask != 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(rows[:, k]) for k in range(len(columns))]], ["id", *columns])
+
+    kind = images.schema["id"].dataType.simpleString()
+    return images.select("id", "width", "height", "mask", *channels.values()).mapInArrow(run, f"id {kind}, " + ", ".join(f"{c} double" for c in columns))
 
 
 def diversity(features: DataFrame) -> DataFrame:
     """One row: the mean over features of their population deviation."""
-    names = [c for c in features.columns if c not in ("id", "label")]
-    some = features.agg(*[F.stddev_pop(c).alias(c) for c in names])
-    return some.select((sum((F.col(c) for c in names), F.lit(0.0)) / len(names)).alias("feature_diversity"))
+    own = [c for c in features.columns if c not in ("id", "label")]
+    some = features.agg(*[F.stddev_pop(c).alias(c) for c in own])
+    return some.select((sum((F.col(c) for c in own), F.lit(0.0)) / len(own)).alias("feature_diversity"))
 
 
 def intra_class_variance(features: DataFrame) -> DataFrame:
     """One row: the mean over classes of more than one row of the mean population variance."""
-    names = [c for c in features.columns if c not in ("id", "label")]
-    by = features.groupBy("label").agg(F.count("*").alias("n"), *[F.var_pop(c).alias(c) for c in names]).filter("n > 1")
-    return by.agg(F.coalesce(F.avg(sum((F.col(c) for c in names), F.lit(0.0)) / len(names)), F.lit(0.0)).alias("intra_class_variance"))
-
-
-__all__ = ["diversity", "extract", "gradient", "intra_class_variance", "on_boundary", "positions"]
+    own = [c for c in features.columns if c not in ("id", "label")]
+    by = features.groupBy("label").agg(F.count("*").alias("n"), *[F.var_pop(c).alias(c) for c in own]).filter("n > 1")
+    return by.agg(F.coalesce(F.avg(sum((F.col(c) for c in own), F.lit(0.0)) / len(own)), F.lit(0.0)).alias("intra_class_variance"))
