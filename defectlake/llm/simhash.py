@@ -68,8 +68,8 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def near_pairs(distinct: DataFrame, bits: int = 4, segments: int = 3) -> DataFrame:
-    """All pairs (fp, other) of distinct fingerprints that differ in 1 to `bits` bits.
+def lookups(distinct: DataFrame, bits: int = 4, segments: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Stored rows (a, key) and look-ups (b, key) by which all pairs within `bits` bits meet.
 
     The 64 bits are cut into `segments`; a pair within `bits` agrees in one segment up to
     r = bits // segments bits. Each fingerprint is stored once per segment and looks up a Hamming
@@ -89,7 +89,8 @@ def near_pairs(distinct: DataFrame, bits: int = 4, segments: int = 3) -> DataFra
     def tagged(s: int, k):
         return k * F.lit(segments) + F.lit(s)
 
-    stored = distinct.select("fp", F.explode(F.array(*[tagged(s, key(s)) for s in range(segments)])).alias("key"))
+    stored = distinct.select(F.col("fp").alias("a"), F.explode(F.array(*[tagged(s, key(s)) for s in range(segments)])).alias("key"))
+
     def ball(s: int):
         own, flips = key(s), F.array(*[F.lit(1 << i) for i in range(width[s])])
         unset = F.filter(flips, lambda m: own.bitwiseAND(m) == 0)
@@ -98,10 +99,60 @@ def near_pairs(distinct: DataFrame, bits: int = 4, segments: int = 3) -> DataFra
     asked = [F.array(tagged(s, key(s))) for s in range(segments)]
     if radius:
         asked += [ball(s) for s in range(segments)]
-    probes = distinct.select(F.col("fp").alias("other"), F.explode(F.concat(*asked)).alias("key"))
-    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("other")))
-    found = stored.join(probes, "key").filter((F.col("fp") != F.col("other")) & (close <= bits))
-    return found.select(F.least("fp", "other").alias("fp"), F.greatest("fp", "other").alias("other")).distinct()
+    probes = distinct.select(F.col("fp").alias("b"), F.explode(F.concat(*asked)).alias("key"))
+    return stored, probes
+
+
+def near_pairs(distinct: DataFrame, bits: int = 4, segments: int = 3) -> DataFrame:
+    """All pairs (fp, other) of distinct fingerprints that differ in 1 to `bits` bits."""
+    stored, probes = lookups(distinct, bits, segments)
+    return _ordered(stored.join(probes, "key").filter(_apart(bits))).withColumnsRenamed({"a": "fp", "b": "other"})
+
+
+def _apart(bits: int):
+    return (F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+#: Stored fingerprints of one key beyond which its pairs are not all compared, and pivots of such a key.
+HOT, PIVOTS = 1000, 8
+
+
+def spanning_pairs(shelf: Shelf, stored: DataFrame, probes: DataFrame, filtered, whole: DataFrame, linked) -> DataFrame:
+    """Candidate pairs (a, b) with the same components as all pairs that meet at a key.
+
+    Pairs of a key of up to HOT stored rows are all taken, if `filtered`. In a larger one (many near
+    copies, say) every member is first compared with PIVOTS of them: members linked with the same
+    pivot are connected through it, so only pairs with an unlinked member, and pairs across pivots,
+    which the pivots' own comparisons cover, are left to meet. `whole` has id and value of all
+    fingerprints, and `linked` compares two values in full.
+    """
+    hot = shelf.put(stored.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("key"))
+    if not hot.limit(1).count():
+        return _ordered(stored.join(probes, "key").filter(filtered))
+    cold = _ordered(stored.join(hot, "key", "left_anti").join(probes, "key").filter(filtered))
+    mine = stored.join(hot, "key", "left_semi").select("key", F.col("a").alias("id")).join(whole, "id")
+    salt = F.pmod(F.xxhash64("id"), F.lit(PIVOTS))
+    pivots = mine.groupBy("key", salt.alias("salt")).agg(F.min(F.struct("id", "value")).alias("p")).select("key", F.col("p.id").alias("a"), F.col("p.value").alias("pv"))
+    pivots = shelf.put(pivots)
+    asks = probes.join(hot, "key", "left_semi").select("key", F.col("b").alias("id"))
+    with_value = asks.join(whole, "id").join(pivots, "key").withColumn("near", linked(F.col("value"), F.col("pv")))
+    marked = with_value.groupBy("key", "id").agg(F.min(F.when(F.col("near"), F.col("a"))).alias("pivot"))
+    marked = shelf.put(marked)
+    spokes = marked.filter("pivot is not null and pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+    between = pivots.select("key", "a", F.col("pv").alias("x")).join(pivots.select("key", F.col("a").alias("b"), F.col("pv").alias("y")), "key").filter((F.col("a") < F.col("b")) & linked(F.col("x"), F.col("y"))).select("a", "b")
+    held = stored.join(hot, "key", "left_semi").join(marked.withColumnRenamed("id", "a"), ["key", "a"]).select("key", "a", *[c for c in stored.columns if c not in ("key", "a")], F.col("pivot").alias("pa"))
+    asked = probes.join(marked.withColumnRenamed("id", "b"), ["key", "b"]).select("key", "b", *[c for c in probes.columns if c not in ("key", "b")], F.col("pivot").alias("pb"))
+    lone = held.filter("pa is null").join(asked, "key").filter(filtered).select("a", "b")
+    lone = lone.unionByName(held.filter("pa is not null").join(asked.filter("pb is null"), "key").filter(filtered).select("a", "b"))
+    # members of two pivots that are not linked may link them; one spanning pair of pivots is enough,
+    # so those pairs meet as well, but only where more than one pivot's group is left
+    groups = marked.filter("pivot is not null").groupBy("key").agg(F.countDistinct("pivot").alias("groups")).filter("groups > 1").select("key")
+    apart = held.filter("pa is not null").join(groups, "key", "left_semi").join(asked.filter("pb is not null"), "key").filter((F.col("pa") != F.col("pb")) & filtered).select("a", "b")
+    return _ordered(cold.unionByName(spokes).unionByName(between).unionByName(lone).unionByName(apart))
 
 
 def near_duplicates(docs: DataFrame, bits: int = 4, words: int = 4, segments: int = 3) -> DataFrame:
@@ -113,10 +164,12 @@ def near_duplicates(docs: DataFrame, bits: int = 4, words: int = 4, segments: in
     shelf = Shelf(docs.sparkSession)
     fps = shelf.put(fingerprints(docs, words))
     distinct = shelf.put(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    pairs = near_pairs(distinct.select("fp"), bits, segments)
-    a = distinct.withColumnRenamed("first", "a")
-    b = distinct.select(F.col("fp").alias("other"), F.col("first").alias("b"))
-    edges = pairs.join(a, "fp").join(b, "other").select("a", "b")
+    stored, probes = lookups(distinct.select("fp"), bits, segments)
+    whole = distinct.select(F.col("fp").alias("id"), F.col("fp").alias("value"))
+    pairs = spanning_pairs(shelf, stored, probes, _apart(bits), whole, lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= bits)
+    a = distinct.select(F.col("fp").alias("a"), F.col("first").alias("left"))
+    b = distinct.select(F.col("fp").alias("b"), F.col("first").alias("right"))
+    edges = pairs.join(a, "a").join(b, "b").select(F.col("left").alias("a"), F.col("right").alias("b"))
     groups = connected_components(shelf, edges)
     named = distinct.join(groups, F.col("first") == F.col("node"), "left")
     named = shelf.put(named.select("fp", F.coalesce("component", "first").alias("component_id")))
@@ -184,11 +237,15 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5) ->
     lane = F.col("fp")[0]
     stored = distinct.select(F.col("first").alias("a"), lane.alias("x"), F.explode(F.concat(*keys)).alias("key"))
     probes = distinct.select(F.col("first").alias("b"), lane.alias("y"), F.explode(F.concat(*keys, *[ball(s) for s in range(segments)])).alias("key"))
-    near = stored.join(probes, "key").filter((F.col("a") != F.col("b")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= lane_limit))
-    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    filtered = (F.col("a") != F.col("b")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= lane_limit)
+
+    def linked(p, q):
+        return sum((F.bit_count(p[i].bitwiseXOR(q[i])) for i in range(lanes)), F.lit(0)) <= limit
+
+    near = spanning_pairs(shelf, stored, probes, filtered, distinct.select(F.col("first").alias("id"), F.col("fp").alias("value")), linked)
     whole = near.join(distinct.select(F.col("first").alias("a"), F.col("fp").alias("p")), "a").join(distinct.select(F.col("first").alias("b"), F.col("fp").alias("q")), "b")
-    distance = sum((F.bit_count(F.col("p")[i].bitwiseXOR(F.col("q")[i])) for i in range(lanes)), F.lit(0))
-    groups = connected_components(shelf, whole.filter(distance <= limit).select("a", "b"))
+    pairs = whole.filter(linked(F.col("p"), F.col("q"))).select("a", "b")
+    groups = connected_components(shelf, pairs)
     named = distinct.join(groups, F.col("first") == F.col("node"), "left")
     named = shelf.put(named.select("fp", F.coalesce("component", "first").alias("component_id")))
     return fps.join(named, "fp").select("doc_id", "component_id")

@@ -187,6 +187,37 @@ def test_near_copies_go_and_others_stay(spark):
     assert kept == set(range(60)) | set(range(300, 310))
 
 
+@pytest.mark.parametrize("hot", [3, 1000])
+def test_hot_keys_keep_components(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT", hot)
+    monkeypatch.setattr(simhash, "PIVOTS", 2)
+    rng = np.random.default_rng(4)
+    base = [" ".join(f"w{x}" for x in rng.integers(0, 9000, 200)) for _ in range(8)]
+    rows = []
+    for k in range(160):  # many near copies of few texts, some of them copies of copies
+        w = base[k % 8].split()
+        for _ in range(int(rng.integers(0, 4))):
+            w[int(rng.integers(200))] = f"n{rng.integers(9000)}"
+        rows.append((k, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fp = np.array([simhash.fingerprint(t) for _, t in rows], np.uint64)
+    near = np.bitwise_count(fp[:, None] ^ fp[None]) <= 4
+    want = list(range(160))
+    for _ in range(160):
+        want = [min(want[j] for j in np.flatnonzero(near[i])) for i in range(160)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    assert [got[i] for i in range(160)] == want
+    wide = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs).collect()}
+    lanes = np.array([simhash.lanes_of(t, 5, 16, False) for _, t in rows])
+    share = simhash.plan_segments(160, 0.8)[3]
+    limit = round(1024 * share + 0.5 * math.sqrt(1024 * share * (1 - share)))
+    near = np.bitwise_count(lanes[:, None] ^ lanes[None]).sum(2) <= limit
+    want = list(range(160))
+    for _ in range(160):
+        want = [min(want[j] for j in np.flatnonzero(near[i])) for i in range(160)]
+    assert [wide[i] for i in range(160)] == want
+
+
 def test_segments_follow_size():
     small, large = simhash.plan_segments(1000, 0.8), simhash.plan_segments(10**9, 0.8)
     assert small[0] == 16 and large[0] > 24 and large[1] > small[1]
