@@ -60,6 +60,18 @@ class Shelf:
 _kept: dict = {}
 
 
+def _thrifty() -> None:
+    """Large arrays go back to the system when freed, instead of staying in the worker's heap."""
+    try:
+        c = ctypes.CDLL(None)
+        c.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        c.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+        c.malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def keep_one(key, make):
     """The value of `key` in this Python worker, made when asked for first.
 
@@ -68,10 +80,7 @@ def keep_one(key, make):
     if key not in _kept:
         _kept.clear()
         gc.collect()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (OSError, AttributeError):
-            pass
+        _thrifty()
         _kept[key] = make()
     return _kept[key]
 

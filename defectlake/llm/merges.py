@@ -143,7 +143,7 @@ class MergeReplay:
             if len(r) == 1:
                 groups = [(int(r[0]), at)]
             else:
-                order = np.argsort(r, kind="stable")
+                order = np.argsort(r)
                 at, sorted_ = at[order], r[order]
                 cut = np.flatnonzero(sorted_[1:] != sorted_[:-1]) + 1
                 groups = zip(sorted_[np.r_[0, cut]].tolist() if len(r) else [], np.split(at, cut), strict=False)

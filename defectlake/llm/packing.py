@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import itertools
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,8 @@ from .common import keep_one, texts_of
 from .merges import MergeReplay
 
 WINDOW = 2048
-#: Words kept per worker; characters and documents of one BM25 shard; terms asked and neighbours fetched per query.
-CACHE_WORDS, SHARD_CHARS, SHARD_DOCS, TERMS, NEIGHBOURS = 400_000, 8 << 20, 4096, 12, 8
+#: Words kept per worker; bytes hashed at once; characters and documents of one BM25 shard; terms asked and neighbours fetched per query.
+CACHE_WORDS, SLICE, SHARD_CHARS, SHARD_DOCS, TERMS, NEIGHBOURS = 650_000, 1 << 19, 8 << 20, 4096, 12, 8
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -25,8 +26,100 @@ def _tokens(path: str) -> "WordTokens":
     return keep_one(("words", path), lambda: WordTokens(path))
 
 
+class WordIndex:
+    """Numbers of words by a 64-bit hash and a check value, in open-addressed arrays of fixed size."""
+
+    def __init__(self, bits: int) -> None:
+        self.bits = bits
+        self.keys = np.zeros(1 << bits, np.uint64)
+        self.at = np.full(1 << bits, -1, np.int32)
+        self.second = np.zeros(0, np.uint64)
+
+    def __len__(self) -> int:
+        return len(self.second)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The number of each word, -1 where it is not known."""
+        slot = self._slot(keys)
+        out = self.at[slot]
+        open_ = np.flatnonzero((out >= 0) & (self.keys[slot] != keys))
+        slot = slot[open_]
+        while len(open_):
+            slot = (slot + 1) & ((1 << self.bits) - 1)
+            at = self.at[slot]
+            out[open_] = at
+            more = (at >= 0) & (self.keys[slot] != keys[open_])
+            open_, slot = open_[more], slot[more]
+        known = np.flatnonzero(out >= 0)
+        clash = known[self.second[out[known]] != second[known]]
+        if len(clash):
+            raise RuntimeError("two words with one 64-bit hash; choose other multipliers")
+        return out
+
+    def add(self, keys: np.ndarray, second: np.ndarray) -> None:
+        """Numbers new distinct words from the present size on."""
+        number = np.arange(len(self.second), len(self.second) + len(keys), dtype=np.int32)
+        self.second = np.concatenate((self.second, second))
+        slot, todo = self._slot(keys), np.arange(len(keys))
+        while len(todo):
+            free = np.flatnonzero(self.at[slot] < 0)
+            place, first = np.unique(slot[free], return_index=True)
+            who = todo[free[first]]
+            self.keys[place], self.at[place] = keys[who], number[who]
+            stay = self.at[slot] != number[todo]
+            todo, slot = todo[stay], (slot[stay] + 1) & ((1 << self.bits) - 1)
+
+
+#: A random value per byte, and an odd multiplier with its inverse: a word's hash is the sum of value x multiplier^place.
+_VALUES = np.random.default_rng(11).integers(1, 2**64 - 1, 256, dtype=np.uint64)
+_STEP = 0xD6E8FEB86659FD93
+_BACK = pow(_STEP, -1, 2**64)
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Kinds of bytes: 1 blank, 2 ASCII letter or digit, 3 other ASCII, 0 part of a longer character.
+_KIND = np.array([1 if chr(b) in "\t\n\v\f\r " else 2 if b < 128 and chr(b).isalnum() else 3 if b < 128 else 0 for b in range(256)], np.uint8)
+
+
+def _powers_of(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if n > _powers.get(0, (np.zeros(0),))[0].size:
+        up, down = np.full(n, _STEP, np.uint64), np.full(n, _BACK, np.uint64)
+        up[0] = down[0] = 1
+        _powers[0] = (np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64))
+    return _powers[0][0][:n], _powers[0][1][:n]
+
+
+def words_in(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, end, hash and check value of the runs between ASCII blanks.
+
+    ASCII marks that end a run after an ASCII letter or digit are a word of their own: the
+    vocabulary's pattern cuts there anyway, and the word before is then more often a known one.
+    """
+    kind = _KIND[data]
+    blank = np.ones(len(data) + 2, bool)
+    blank[1:-1] = kind == 1
+    edge = np.flatnonzero(blank[1:] != blank[:-1])
+    begin, end = edge[::2], edge[1::2]
+    if len(end):
+        solid = np.maximum.accumulate(np.where(kind == 3, -1, np.arange(len(data), dtype=np.int64)))
+        last = solid[end - 1]
+        cut = last[(last >= begin) & (last < end - 1) & (kind[np.maximum(last, 0)] == 2)] + 1
+        if len(cut):
+            begin, end = np.sort(np.concatenate((begin, cut))), np.sort(np.concatenate((end, cut)))
+    up, down = _powers_of(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_VALUES[data] * up[:-1], out=sums[1:])
+    size = end - begin
+    check = (size.astype(np.uint64) << np.uint64(24)) | (data[begin].astype(np.uint64) << np.uint64(16)) | (data[begin + size // 2].astype(np.uint64) << np.uint64(8)) | data[end - 1]
+    return begin, end, (sums[end] - sums[begin]) * down[begin], check
+
+
 class WordTokens:
-    """Ids of a word-end BPE vocabulary, one cached entry per distinct white-space word."""
+    """Ids of a word-end BPE vocabulary, one cached entry per distinct white-space word.
+
+    Texts are cut and their words looked up by arrays; Python sees only the words not met before.
+    """
 
     def __init__(self, path: str) -> None:
         import regex
@@ -35,28 +128,14 @@ class WordTokens:
         self.pattern = regex.compile(PIECES + r"|\n")
         #: Characters that Python and the library lower-case or split differently: the library does those texts.
         self.odd = regex.compile("[\x1c-\x1fİΣ]")
+        self.wide = regex.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
         self.replay = MergeReplay.from_word_ends(path)
         self.library = None
         self.clear()
 
     def clear(self) -> None:
-        self.piece_at: dict[str, int] = {}
-        self.piece_ids, self.piece_begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        self.at: dict[str, int] = {}
+        self.index = WordIndex(int(np.ceil(np.log2(CACHE_WORDS * 3))))
         self.flat, self.begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        self.uses = np.zeros(0, np.int64)
-
-    def shrink(self) -> None:
-        """Forget pieces, and the words used least, so that at most half of CACHE_WORDS stay."""
-        words, uses = list(self.at), self.uses
-        least = 2
-        while np.count_nonzero(uses >= least) > CACHE_WORDS // 2:
-            least *= 2
-        keep = np.flatnonzero(uses >= least)
-        flat, size = spread(self.flat, self.begin, keep)
-        self.clear()
-        self.at = dict(zip([words[k] for k in keep.tolist()], range(len(keep)), strict=True))
-        self.flat, self.begin, self.uses = flat, np.concatenate(([0], np.cumsum(size))), uses[keep] // 2
 
     def whole(self, text: str) -> np.ndarray:
         if self.library is None:
@@ -66,66 +145,78 @@ class WordTokens:
             self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def learn(self, new: list[str]) -> None:
-        """Encode unseen words: split them all at once, replay the unseen pieces at once."""
+    def learn(self, new: list[bytes]) -> None:
+        """Encode unseen words: split them all at once, replay their distinct pieces at once."""
         import unicodedata
 
-        joined = "\n".join(new)
+        joined = b"\n".join(new).decode("utf-8", "surrogatepass")
         if not joined.isascii():
-            joined = unicodedata.normalize("NFC", joined)
-        found = self.pattern.findall(joined.lower())
-        unseen = [p for p in set(found) if p not in self.piece_at and p != "\n"]
-        ids = self.replay.encode([p.encode("utf-8", "surrogatepass") for p in unseen])
-        n = len(self.piece_begin) - 1
-        self.piece_at.update(zip(unseen, range(n, n + len(unseen)), strict=True))
-        self.piece_at["\n"] = -1
-        self.piece_ids = np.concatenate((self.piece_ids, np.frombuffer(b"".join(ids), "<u4")))
+            joined = unicodedata.normalize("NFC", joined).lower()
+        found = self.pattern.findall(joined)
+        number: defaultdict = defaultdict()
+        number.default_factory = number.__len__
+        number["\n"]
+        at = np.fromiter(map(number.__getitem__, found), np.int64, len(found))
+        ids = self.replay.encode([b"", *(p.encode("utf-8", "surrogatepass") for p in itertools.islice(number, 1, None))])
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        self.piece_begin = np.concatenate((self.piece_begin, self.piece_begin[-1] + np.cumsum(sizes)))
-        at = np.fromiter(map(self.piece_at.__getitem__, found), np.int64, len(found))
-        word = np.cumsum(at < 0)[at >= 0]
-        at = at[at >= 0]
-        own, size = spread(self.piece_ids, self.piece_begin, at)
-        n = len(self.begin) - 1
-        self.at.update(zip(new, range(n, n + len(new)), strict=True))
-        self.flat = np.concatenate((self.flat, own))
+        begin = np.concatenate(([0], np.cumsum(sizes)))
+        word = np.cumsum(at == 0)
+        own, size = spread(np.frombuffer(b"".join(ids), "<u4"), begin, at)
         per_word = np.bincount(word, size, len(new)).astype(np.int64)
+        self.flat = np.concatenate((self.flat, own))
         self.begin = np.concatenate((self.begin, self.begin[-1] + np.cumsum(per_word)))
 
     def encode(self, texts: list[str], last: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of each text, then `last`; and the numbers of its words, as terms."""
-        if len(self.at) > CACHE_WORDS:
-            self.shrink()
-        absent = itertools.repeat(-1)
-        terms: list[np.ndarray] = []
-        missing: list[str] = []
-        places: list[np.ndarray] = []
+        if len(self.index) > CACHE_WORDS:
+            self.clear()
+        odd, parts = [], []
         for text in texts:
-            words = text.lower().split()
-            at = np.fromiter(map(self.at.get, words, absent), np.int64, len(words))
-            terms.append(at)
-            gap = np.flatnonzero(at < 0)
-            places.append(gap)
-            missing += [words[k] for k in gap.tolist()]
-        if missing:
-            gc.disable()  # nothing here is cyclic, and collections over large caches are slow
+            strange = any(c in text for c in "\x1c\x1d\x1e\x1f") if text.isascii() else self.odd.search(text)
+            odd.append(bool(strange))
+            lower = text.lower()
+            if not lower.isascii():
+                lower = self.wide.sub(" ", lower)
+            parts.append(lower.encode("utf-8", "surrogatepass"))
+        stops = np.cumsum([len(p) + 1 for p in parts])
+        data = np.frombuffer(b" ".join(parts), np.uint8)
+        begins, ends, firsts, seconds = [], [], [], []
+        done = 0
+        while done < len(data):  # slices that end at a blank keep the arrays of hashes small
+            stop = min(len(data), done + SLICE)
+            while stop < len(data) and data[stop] != 32:
+                stop += 1
+            b, e, h, g = words_in(data[done:stop])
+            begins.append(b + done)
+            ends.append(e + done)
+            firsts.append(h)
+            seconds.append(g)
+            done = stop
+        begin, end, first, second = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (begins, ends, firsts, seconds))
+        at = self.index.find(first, second)
+        gap = np.flatnonzero(at < 0)
+        if len(gap):
+            new, where = np.unique(first[gap], return_index=True)
+            where = gap[where]
+            gc.disable()  # nothing here is cyclic, and collections over large lists are slow
             try:
-                self.learn(list(dict.fromkeys(missing)))
+                self.learn([data[a:b].tobytes() for a, b in zip(begin[where].tolist(), end[where].tolist(), strict=True)])
             finally:
                 gc.enable()
-            found = np.fromiter(map(self.at.__getitem__, missing), np.int64, len(missing))
-            done = 0
-            for at, gap in zip(terms, places, strict=True):
-                at[gap] = found[done : done + len(gap)]
-                done += len(gap)
-        uses = np.bincount(np.concatenate(terms), minlength=len(self.at)) if terms else np.zeros(len(self.at), np.int64)
-        uses[: len(self.uses)] += self.uses
-        self.uses = uses
+            self.index.add(new, second[where])
+            at[gap] = self.index.find(first[gap], second[gap])
+        cut = np.searchsorted(begin, stops[:-1])
+        del data, parts, begins, ends, firsts, seconds, begin, end, first, second
+        terms = np.split(at, cut)
+        flat, size = spread(self.flat, self.begin, at)
+        sums = np.concatenate(([0], np.cumsum(size)))
+        bounds = sums[np.concatenate(([0], cut, [len(at)]))]
         ids = []
-        for text, at in zip(texts, terms, strict=True):
-            odd = any(c in text for c in "\x1c\x1d\x1e\x1f") if text.isascii() else self.odd.search(text)
-            own = self.whole(text) if odd else spread(self.flat, self.begin, at)[0]
-            ids.append(np.append(own, np.uint32(last)).astype("<u4"))
+        for k, (text, strange) in enumerate(zip(texts, odd, strict=True)):
+            own = self.whole(text) if strange else flat[bounds[k] : bounds[k + 1]]
+            out = np.empty(len(own) + 1, "<u4")
+            out[:-1], out[-1] = own, last
+            ids.append(out)
         return ids, terms
 
 
@@ -134,8 +225,11 @@ def spread(flat: np.ndarray, begin: np.ndarray, at: np.ndarray) -> tuple[np.ndar
     first = begin[at]
     size = begin[at + 1] - first
     stop = np.cumsum(size)
-    shift = np.repeat(first - (stop - size), size)
-    return flat[np.arange(len(shift)) + shift], size
+    total = int(stop[-1]) if len(stop) else 0
+    kind = np.int32 if max(total, len(flat)) < 2**31 else np.int64
+    where = np.repeat((first - (stop - size)).astype(kind), size)
+    where += np.arange(total, dtype=kind)
+    return flat[where], size
 
 
 class Bm25:
@@ -143,22 +237,26 @@ class Bm25:
 
     def __init__(self, terms: list[np.ndarray], k1: float = 1.2, b: float = 0.75) -> None:
         n = len(terms)
-        parts = [np.unique(t, return_counts=True) for t in terms]
         sizes = np.array([len(t) for t in terms], float)
-        doc = np.repeat(np.arange(n), [len(t) for t, _ in parts])
-        term = np.concatenate([t for t, _ in parts])
-        count = np.concatenate([c for _, c in parts]).astype(float)
+        both = (np.repeat(np.arange(n, dtype=np.int64), sizes.astype(np.int64)) << 32) | np.concatenate([*terms, np.zeros(0, np.int32)]).astype(np.int64)
+        both.sort()
+        new = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if len(both) else np.zeros(0, np.int64)
+        count = np.diff(np.append(new, len(both))).astype(np.float32)
+        doc, term = (both[new] >> 32).astype(np.int32), both[new] & 0xFFFFFFFF
         _, term = np.unique(term, return_inverse=True)
+        term = term.astype(np.int32)
         df = np.bincount(term)
         keep = df[term] > 1  # a term of one document finds no neighbour
         doc, term, count = doc[keep], term[keep], count[keep]
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         weight = idf[term] * count * (k1 + 1) / (count + k1 * (1 - b + b * sizes[doc] / max(1.0, sizes.mean())))
-        order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order].astype(np.int32), weight[order]
+        order = np.argsort(term)
+        self.doc, self.weight = doc[order], weight[order]
         self.begin = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=len(df)))))
         # the heaviest terms of each document, rarest first
-        rank = np.lexsort((term, -idf[term], doc))
+        rarity = np.empty(len(idf), np.int64)
+        rarity[np.lexsort((np.arange(len(idf)), -idf))] = np.arange(len(idf))
+        rank = np.argsort((doc.astype(np.int64) << 32) | rarity[term])
         first = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=n))))
         self.asked = [term[rank[first[i] : min(first[i + 1], first[i] + TERMS)]] for i in range(n)]
         self.n = n

@@ -218,6 +218,7 @@ def _count(groups: int):
             yield pa.RecordBatch.from_arrays(columns, names)
 
     def run(batches):
+        keep_one("counts", dict)
         block = TaskContext.get().partitionId() << 24
 
         def fresh():
@@ -247,6 +248,7 @@ def _gather(groups: int, order: int):
     """Windows of the distinct training words by class; keys -1 and -2: tokens and kinds, of all at class -1."""
 
     def run(batches):
+        keep_one("counts", dict)
         keys: list[list] = [[] for _ in range(groups)]
         tokens, kinds, known = np.zeros(groups), np.zeros(groups), 0
 
