@@ -3,8 +3,10 @@
 A token (a lower-cased word, or the end of the text) is coded by its own count or, with the escape
 probability of a first symbol, by a byte-context trie of order `order` within the token, with
 method-C escapes and exclusion of the symbols of the longer context. There is one such model per
-class of training documents (their language, say); a document's probability is the mixture of its
-probabilities under the classes, which adapts to the text from its first words on.
+class of training documents (their language, say), and under each the document's own words so far
+may take part with a weight of n / (strength + n) after n of them. A document's probability is the
+mixture of its probabilities under all classes and strengths, which adapts to it from its first
+words on.
 """
 
 from __future__ import annotations
@@ -22,8 +24,9 @@ from .common import Shelf, keep_one, texts_of
 #: Characters of a block of documents; words of a scoring task; windows of all tries together.
 BLOCK_CHARS, TASK_WORDS, MOST_WINDOWS = 14 << 20, 200_000, 4_000_000
 CHUNK = 20_000
+#: Strengths of the trained model against the document's own words, with their shares; the rest is the trained model alone.
+STRENGTHS = {5000.0: 0.1, 200.0: 0.1}
 END = b"\n"
-_LOG10 = np.log(10.0)
 
 
 def squeeze(values: np.ndarray, kind: str, steps: bool = False) -> bytes:
@@ -343,6 +346,30 @@ def log_words(words: list[bytes], total: np.ndarray, model) -> np.ndarray:
     return out
 
 
+def mixed(logs: np.ndarray, times: np.ndarray, prior: np.ndarray) -> float:
+    """Log10 probability of a document, whatever its words' order, under the mixture.
+
+    `logs` has the log10 probability of each distinct token (rows) under each class, `times` how
+    often it occurs, `prior` the log10 shares of the classes. A token met k times before in n has
+    (strength * p + k) / (strength + n); the product over the document is free of the order.
+    """
+    static = prior + times @ logs
+    by = [static + np.log10(1 - sum(STRENGTHS.values()))]
+    n = int(times.sum())
+    again = np.flatnonzero(times > 1)
+    extra = times[again].astype(np.int64) - 1
+    k = (np.arange(extra.sum()) - np.repeat(np.cumsum(extra) - extra, extra) + 1)[:, None]
+    apart = np.repeat(logs[again], extra, 0)
+    for strength, share in STRENGTHS.items():
+        # log10(1 + k / (strength p)), which stays finite for the smallest p
+        far = np.log10(k) - np.log10(strength) - apart if len(k) else apart
+        gain = np.where(far > 15, far, np.log10(1 + np.power(10.0, np.minimum(far, 15)))).sum(0)
+        by.append(static + gain - np.log10(1 + np.arange(1, n) / strength).sum() + np.log10(share))
+    by = np.concatenate(by)
+    top = by.max()
+    return float(top + np.log10(np.power(10.0, by - top).sum()))
+
+
 def _sum_up(base: dict, ends: list[int], model, groups: int, shares: np.ndarray):
     room = base["tokens"] + 0.5 * (base["kinds"] + 1)
 
@@ -357,15 +384,13 @@ def _sum_up(base: dict, ends: list[int], model, groups: int, shares: np.ndarray)
         end = log_words([END], np.array([ends], float), model.value)[0]
         end_base = np.log10((sum(ends) + 0.5) / room)
         prior = np.where(shares > 0, np.log10(np.maximum(shares, 1e-300)), -np.inf)
-        known, flat, mixed = [], [], []
+        known, flat, scores = [], [], []
         for own, times in zip(texts["own"].to_pylist(), texts["times"].to_pylist(), strict=True):
             own, times = loosen(own, "<i4", True), loosen(times, "<i4").astype(float)
             known.append(int(times[c[own] > 0].sum()) + (sum(ends) > 0))
             flat.append(float(times @ plain[own] + end_base))
-            by = prior + times @ logs[own] + end
-            top = by.max()
-            mixed.append(float(top + np.log(np.exp((by - top) * _LOG10).sum()) / _LOG10))
+            scores.append(mixed(np.vstack((logs[own], end)), np.append(times, 1.0), prior))
         n = texts.num_rows
-        return pa.table([texts["doc_id"], texts["n_tokens"], pa.array(known, pa.int64()), pa.array([int(base["tokens"])] * n, pa.int64()), pa.array(flat, pa.float64()), pa.array(mixed, pa.float64())], names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        return pa.table([texts["doc_id"], texts["n_tokens"], pa.array(known, pa.int64()), pa.array([int(base["tokens"])] * n, pa.int64()), pa.array(flat, pa.float64()), pa.array(scores, pa.float64())], names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run

@@ -363,6 +363,25 @@ def test_ppm_scores_and_counts(spark, odd, none):
     assert all(r["n_known"] == 0 and math.isfinite(r["score"]) for r in ppm.score(odd, F.lit(False)).collect())
 
 
+def test_ppm_mixture_is_free_of_order():
+    rng = np.random.default_rng(2)
+    logs, times = np.log10(rng.dirichlet(np.ones(5), 3).T), np.array([3.0, 1.0, 4.0, 1.0, 2.0])
+    prior = np.log10([0.5, 0.3, 0.2])
+    text = np.repeat(np.arange(5), times.astype(int))
+    rng.shuffle(text)
+    total = 0.0
+    for g in range(3):
+        for strength, share in {math.inf: 0.8, **ppm.STRENGTHS}.items():
+            p, seen = 10 ** prior[g] * share, Counter()
+            for n, w in enumerate(text):
+                own = 10 ** logs[w, g]
+                p *= own if strength == math.inf else (strength * own + seen[w]) / (strength + n)
+                seen[w] += 1
+            total += p
+    assert ppm.mixed(logs, times, prior) == pytest.approx(math.log10(total))
+    assert math.isfinite(ppm.mixed(np.array([[-400.0]]), np.array([50.0]), np.array([0.0])))
+
+
 def test_ppm_probabilities_sum_to_at_most_one():
     words = [b"ab", b"abc", b"b", ppm.END]
     key, _ = ppm.windows(words, 3)
