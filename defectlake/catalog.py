@@ -113,6 +113,20 @@ class Workspace:
         return self.spark.read.parquet(str(path))
 
 
+    def pack_run(self, project: str, run: str, path: str) -> int:
+        """Writes all files of a run into one ZIP file; returns their number."""
+        import zipfile
+
+        folder = self._at(project) / "runs" / export.safe_name(run)
+        if not folder.is_dir():
+            raise FileNotFoundError(f"no run {run}")
+        files = sorted(p for p in folder.rglob("*") if p.is_file() and not p.name.endswith(".crc"))
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            for p in files:
+                z.write(p, p.relative_to(folder))
+        return len(files)
+
+
 def run_report(samples: DataFrame) -> dict:
     """Statistics, leakage, splits and spatial measures of a run; pixels are read for brightness only."""
     area = F.aggregate("instances", F.lit(0).cast("long"), lambda a, i: a + i["area"])

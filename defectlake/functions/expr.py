@@ -31,7 +31,8 @@ def gray(b: Column, g: Column, r: Column) -> Column:
 
 def lcg(k: Column, seed: int = 12345) -> Column:
     """A reproducible pseudo-random order of whole numbers, the same in any SQL engine."""
-    return F.pmod(k * F.lit(1103515245).cast("long") + F.lit(seed).cast("long"), F.lit(2147483648).cast("long"))
+    whole = F.lit(2147483648).cast("long")
+    return F.pmod(F.pmod(k.cast("long"), whole) * F.lit(1103515245).cast("long") + F.lit(seed).cast("long"), whole)
 
 
 def total(values: Column) -> Column:

@@ -98,7 +98,8 @@ def sample_plan(plan: DataFrame, quotas: DataFrame, total: int, random_seed: int
 
 def sample_seed(random_seed: Column, sample_idx: Column, step: Column | None = None) -> Column:
     """A seed below 2^32 that mixes run, sample and pass, so that near runs share none."""
-    mixed = random_seed.cast("long") * 1000003 + sample_idx.cast("long") * 8191 + (step.cast("long") if step is not None else F.lit(0).cast("long"))
+    prime = F.lit(2147483647).cast("long")
+    mixed = F.pmod(random_seed.cast("long"), prime) * 1000003 + F.pmod(sample_idx.cast("long"), prime) * 8191 + (step.cast("long") if step is not None else F.lit(0).cast("long"))
     return F.pmod(F.pmod(mixed, F.lit(2147483647).cast("long")) * F.lit(1664525).cast("long") + F.lit(1013904223).cast("long"), F.lit(4294967296).cast("long"))
 
 

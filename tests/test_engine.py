@@ -112,7 +112,7 @@ def test_workspace(spark, seed_folder, tmp_path):
     assert w.seed_report(p).filter("code = 'too_small'").count() == 0
     run = w.create_run(p, Config(count=4, export="coco"))
     assert run["statistics"]["total_images"] == 4 and w.runs(p)[0]["id"] == run["id"] and w.samples(p, run["id"]).count() == 4
-    assert w.projects()[0]["runs"] == 1
+    assert w.projects()[0]["runs"] == 1 and w.pack_run(p, run["id"], str(tmp_path / "run.zip")) > 8
     with pytest.raises(ValueError):
         w.add_seed(p, "x.exe", b"")
     w.delete(p)
@@ -282,3 +282,22 @@ def test_streams(spark, tmp_path):
 def test_surfaces(spark):
     rows = images.surfaces(spark, 4, 32).collect()
     assert len(rows) == 4 and all(len(r["image"]) == 32 * 32 * 3 for r in rows)
+
+
+def test_benchmark(spark, tmp_path):
+    from defectlake.operators.evaluation import NAMES, benchmark
+
+    out = benchmark(spark, str(tmp_path), per_type=6, trees=2)
+    assert len(NAMES) == 16 and out["quality"]["samples"] == 22 and out["quality"]["feature_diversity"] > 0
+    assert "real_f1" in out["quality"]["probe"] and "augmented" in out["quality"]["baselines"]
+    assert (tmp_path / "benchmark_report.json").exists()
+
+
+def test_command_line(spark, seed_folder, tmp_path, capsys):
+    from defectlake import cli
+
+    for k in (1, 2):
+        assert cli.main(["generate", seed_folder, str(tmp_path / f"run{k}"), "--defect", "mixed", "--count", "4", "--random-seed", str(k)]) == 0
+    assert cli.main(["merge", str(tmp_path / "all"), str(tmp_path / "run1"), str(tmp_path / "run2")]) == 0
+    assert spark.read.parquet(str(tmp_path / "all/images")).count() == 8
+    assert cli.main(["recipes"]) == 0 and "metal" in capsys.readouterr().out
