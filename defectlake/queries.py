@@ -364,8 +364,8 @@ def heat_accumulate(spark, d):
 
 _METRICS = """, cl AS (SELECT y // {c} AS cy, x // {c} AS cx, CAST(sum(hits) AS DOUBLE) AS c FROM ht WHERE y // {c} < 8 AND x // {c} < 8 GROUP BY ALL),
 e AS (SELECT coalesce((log2(sum(c)) - sum(c * log2(c)) / sum(c)) / 6, 0) AS e FROM cl)
-SELECT round(count(*) / {n}.0::DOUBLE, 4) AS coverage, round(CASE WHEN count(*) > 0 THEN sum(x * hits) / (sum(hits) * {w}.0::DOUBLE) ELSE 0.5 END, 4) AS centroid_x,
-round(CASE WHEN count(*) > 0 THEN sum(y * hits) / (sum(hits) * {w}.0::DOUBLE) ELSE 0.5 END, 4) AS centroid_y, round(least(greatest(any_value(e), 0), 1), 4) AS entropy FROM ht, e"""
+SELECT round_even(count(*) / {n}.0::DOUBLE, 4) AS coverage, round_even(CASE WHEN count(*) > 0 THEN sum(x * hits) / (sum(hits) * {w}.0::DOUBLE) ELSE 0.5 END, 4) AS centroid_x,
+round_even(CASE WHEN count(*) > 0 THEN sum(y * hits) / (sum(hits) * {w}.0::DOUBLE) ELSE 0.5 END, 4) AS centroid_y, round_even(least(greatest(any_value(e), 0), 1), 4) AS entropy FROM ht, e"""
 
 
 @query(_HEAT + _METRICS.format(c=8, n=4096, w=64))
