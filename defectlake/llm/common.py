@@ -90,6 +90,13 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 
 
+def slices(batches, rows: int = 512):
+    """Parts of Arrow batches, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def connected_components(shelf: Shelf, edges: DataFrame) -> DataFrame:
     """(node, component) for every node of `edges` (a, b); component is the smallest node reachable.
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shelf, keep_one, texts_of
+from .common import Shelf, keep_one, slices, texts_of
 
 _LOOKALIKES = dict(
     zip(
@@ -103,7 +103,7 @@ def entries(word: str, stems: range) -> list[str]:
     return [f" {word} "] + [f" {word[:k]}" for k in stems if k < len(word)]
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, stems: range = range(4, 10), support: int = 3, evidence: float = 20.0, most: int = 4096) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, stems: range = range(4, 10), support: int = 3, evidence: float = 30.0, most: int = 4096) -> Model:
     """Learn lexicon, exception phrases and calibration from labelled documents.
 
     The fit uses at most `per_class` documents of each label, those of smallest hashed doc_id; this
@@ -122,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, stems: range
     order = F.xxhash64("doc_id")
     chosen = known.filter("y = 1").orderBy(order).limit(per_class).unionByName(known.filter("y = 0").orderBy(order).limit(per_class))
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter("text is not null").dropDuplicates(["doc_id"])
-    sample = shelf.put(sample)
+    sample = shelf.put(_without_copies(sample))
     size = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = max(1, size.get(1, 0)), max(1, size.get(0, 0))
 
@@ -194,6 +194,30 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, stems: range
     return model
 
 
+def _without_copies(sample: DataFrame, hashes: int = 4, words: int = 5) -> DataFrame:
+    """The sample's rows without near copies, whose words would count as evidence again and again.
+
+    Rows that share the smallest hash of their five-word shingles, under any of a few hash
+    functions, are copies; of each such group the smallest doc_id stays. The sample is bounded.
+    """
+    from xxhash import xxh64_intdigest
+
+    def run(batches):
+        for batch in slices(batches):
+            marks = []
+            for t in texts_of(batch):
+                w = fold(t)
+                shingles = {" ".join(w[k : k + words]) for k in range(max(1, len(w) - words + 1))}
+                h = np.array([xxh64_intdigest(x) for x in shingles], np.uint64)
+                marks.append([int(((h ^ np.uint64(0x9E3779B97F4A7C15 * k % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)).min().view(np.int64)) for k in range(1, hashes + 1)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.list_(pa.int64()))], ["doc_id", "marks"])
+
+    marks = sample.select("doc_id", "text").mapInArrow(run, "doc_id long, marks array<long>").select("doc_id", F.posexplode("marks").alias("k", "mark"))
+    first = marks.groupBy("k", "mark").agg(F.min("doc_id").alias("first"))
+    kept = marks.join(first, ["k", "mark"]).groupBy("doc_id").agg(F.min("first").alias("first")).filter("first = doc_id").select("doc_id")
+    return sample.join(F.broadcast(kept), "doc_id", "left_semi")
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.5) -> tuple[float, ...]:
     """Newton's method with a ridge on all but the intercept."""
     x = np.column_stack((np.ones(len(x)), x))
@@ -227,7 +251,7 @@ def keep_clean(docs: DataFrame, model: Model, limit: float = 0.3) -> DataFrame:
 
     def run(batches):
         keep_one("lexicon", dict)
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([model.score(t) < limit for t in texts_of(batch)], pa.bool_()))
 
     return docs.mapInArrow(run, schema)
