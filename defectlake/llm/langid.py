@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_one, texts_of
+from .common import keep_one, slices, texts_of
 from .merges import NONE, KeyTable
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -184,7 +184,7 @@ def predict(docs: DataFrame, path: str, model: tuple[list[str], np.ndarray, np.n
     run = _predictor(docs.sparkSession, path, model)
 
     def rows(batches):
-        for batch in batches:
+        for batch in slices(batches, 1024):
             lang, score = run(texts_of(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
@@ -196,7 +196,7 @@ def keep_identified(docs: DataFrame, path: str, model: tuple[list[str], np.ndarr
     run = _predictor(docs.sparkSession, path, model)
 
     def rows(batches):
-        for batch in batches:
+        for batch in slices(batches, 1024):
             lang, score = run(texts_of(batch))
             yield batch.filter(pa.array([k != UNKNOWN and s >= least for k, s in zip(lang, score, strict=True)], pa.bool_()))
 

@@ -12,12 +12,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import keep_one, texts_of
+from .common import keep_one, slices, texts_of
 from .merges import MergeReplay
 
 WINDOW = 2048
 #: Words kept per worker; bytes hashed at once; characters and documents of one BM25 shard; terms asked and neighbours fetched per query.
-CACHE_WORDS, SLICE, SHARD_CHARS, SHARD_DOCS, TERMS, NEIGHBOURS = 650_000, 1 << 19, 8 << 20, 4096, 12, 8
+CACHE_WORDS, SLICE, SHARD_CHARS, SHARD_DOCS, TERMS, NEIGHBOURS = 650_000, 1 << 19, 5 << 20, 4096, 12, 8
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -374,7 +374,7 @@ def fill(packer: Packer, doc_ids: list, ids: list[np.ndarray], index: Bm25) -> N
 
 def _shards(batches):
     doc_ids, texts, held = [], [], 0
-    for batch in batches:
+    for batch in slices(batches):
         for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
             doc_ids.append(doc_id)
             texts.append(text)
