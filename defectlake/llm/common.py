@@ -60,7 +60,7 @@ class Shelf:
 _kept: dict = {}
 
 
-def _thrifty() -> None:
+def thrifty() -> None:
     """Large arrays go back to the system when freed, instead of staying in the worker's heap."""
     try:
         c = ctypes.CDLL(None)
@@ -80,7 +80,7 @@ def keep_one(key, make):
     if key not in _kept:
         _kept.clear()
         gc.collect()
-        _thrifty()
+        thrifty()
         _kept[key] = make()
     return _kept[key]
 

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shelf, keep_one, texts_of
+from .common import Shelf, keep_one, texts_of, thrifty
 
 #: Characters of a block of documents; words of a scoring task; windows of all tries together.
 BLOCK_CHARS, TASK_WORDS, MOST_WINDOWS = 14 << 20, 200_000, 4_000_000
@@ -167,18 +167,23 @@ def score(docs: DataFrame, learn: Column, group: str | None = "lang", order: int
     found = shelf.put(found)
     totals = {(r["g"], r["key"]): r["n"] for r in found.filter("key < 0").collect()}
     least = _least_count(found)
-    table = found.filter((F.col("key") >= 0) & (F.col("n") >= least)).toPandas()
+    thrifty()  # the driver holds the windows once, as arrays
+    table = found.filter((F.col("key") >= 0) & (F.col("n") >= least)).select("g", "key", "n").toArrow()
+    of, keys, counts = (table[c].to_numpy() for c in ("g", "key", "n"))
     base = {"tokens": sum(totals.get((i, -1), 0) for i in range(groups)) + sum(ends), "kinds": totals.get((-1, -2), 0) + (sum(ends) > 0)}
     size = [totals.get((i, -1), 0) + ends[i] for i in range(groups)]
     kinds = [totals.get((i, -2), 0) + (ends[i] > 0) for i in range(groups)]
     tries = []
     for i in range(groups):
-        own = table[table["g"] == i]
-        key, n = own["key"].to_numpy(np.int64).astype(np.uint64), own["n"].to_numpy(float)
+        own = of == i
+        key, n = keys[own].astype(np.uint64), counts[own].astype(float)
         if ends[i]:
             key, n = np.append(key, np.uint64((32 << 8) | END[0])), np.append(n, 1.0)
         tries.append((key, n))
+    del table, of, keys, counts
     model = docs.sparkSession.sparkContext.broadcast((order, tries, size, kinds, ends))
+    del tries
+    thrifty()
 
     n_words = words.count()
     tasks = max(1, -(-n_words // TASK_WORDS))
