@@ -10,22 +10,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def dense_ids(rows: DataFrame, name: str, *order: str, by: str) -> DataFrame:
-    """Numbers rows from 1 in `order`, whose first column is `by`.
+RANGE = 65536
 
-    Rows are numbered within each value of `by`, in parallel, and shifted by the counts of all
-    smaller values: a small table, as `by` has few values (runs).
+
+def dense_ids(rows: DataFrame, name: str, *order: str, ranged: str, runs: str | None = None) -> DataFrame:
+    """Numbers rows from 1 in `order`.
+
+    The order begins with `runs`, if given, and then the whole number `ranged`. Rows are ranked
+    within ranges of RANGE values of it, in parallel and whatever a run's size, and shifted by the
+    counts of all ranges before: a table that is smaller by the rows of a range.
     """
-    first = rows.groupBy(by).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shift = first.select(by, before.alias("_before"))
-    number = F.row_number().over(Window.partitionBy(by).orderBy(*order))
-    return rows.withColumn("_at", number).join(shift, by).withColumn(name, (F.col("_at") + F.col("_before")).cast("long")).drop("_at", "_before")
+    keys = [*([runs] if runs else []), "_range"]
+    rows = rows.withColumn("_range", F.expr(f"{ranged} div {RANGE}"))
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = counts.select(*keys, before.alias("_before"))
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("_at", number).join(shift, keys).withColumn(name, (F.col("_at") + F.col("_before")).cast("long")).drop("_at", "_before", "_range")
 
 
 def merge_images(images: DataFrame, name: Column | None = None) -> DataFrame:
     """run_idx, old_id, id and file_name with the prefix of its run."""
-    numbered = dense_ids(images, "new_id", "run_idx", "id", by="run_idx")
+    numbered = dense_ids(images, "new_id", "run_idx", "id", ranged="id", runs="run_idx")
     prefix = F.concat(F.lit("run"), F.col("run_idx").cast("string"), F.lit("_"))
     return numbered.select("run_idx", F.col("id").alias("old_id"), F.col("new_id").alias("id"), F.concat(prefix, name if name is not None else F.col("file_name")).alias("file_name"))
 
@@ -39,7 +45,7 @@ def merge_categories(categories: DataFrame) -> DataFrame:
     return first.select(F.row_number().over(Window.orderBy("first", "name")).alias("id"), "name")
 
 
-def merge_annotations(annotations: DataFrame, images: DataFrame, categories: DataFrame, merged: DataFrame, order: tuple[str, ...] = ("run_idx", "id")) -> DataFrame:
+def merge_annotations(annotations: DataFrame, images: DataFrame, categories: DataFrame, merged: DataFrame) -> DataFrame:
     """Annotations with new ids, image ids and category ids.
 
     Annotations of unknown images go; an unknown category becomes 1. `images` is the result of
@@ -48,7 +54,7 @@ def merge_annotations(annotations: DataFrame, images: DataFrame, categories: Dat
     names = categories.select("run_idx", F.col("id").alias("category_id"), "name").join(merged.select(F.col("id").alias("new_category"), "name"), "name").drop("name")
     kept = annotations.join(images.select("run_idx", F.col("old_id").alias("image_id"), F.col("id").alias("new_image")), ["run_idx", "image_id"])
     kept = kept.join(names, ["run_idx", "category_id"], "left")
-    kept = dense_ids(kept, "new_id", *order, by="run_idx")
+    kept = dense_ids(kept, "new_id", "run_idx", "id", ranged="id", runs="run_idx")
     return kept.select("run_idx", F.col("new_id").alias("id"), F.col("new_image").alias("image_id"), F.coalesce("new_category", F.lit(1)).alias("category_id"))
 
 

@@ -16,7 +16,7 @@ from .measures import area, bbox, yolo_box
 
 def numbered(rows: DataFrame, name: str, *order: str) -> DataFrame:
     """Dense numbers from 1 in the order of `order`, whose first column is a whole number."""
-    return dense_ids(rows.withColumn("_range", F.expr(f"{order[0]} div 65536")), name, *order, by="_range").drop("_range")
+    return dense_ids(rows, name, *order, ranged=order[0])
 
 
 def file_name(index: Column, kind: Column, prefix: str = "image") -> Column:

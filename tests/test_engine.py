@@ -301,3 +301,10 @@ def test_command_line(spark, seed_folder, tmp_path, capsys):
     assert cli.main(["merge", str(tmp_path / "all"), str(tmp_path / "run1"), str(tmp_path / "run2")]) == 0
     assert spark.read.parquet(str(tmp_path / "all/images")).count() == 8
     assert cli.main(["recipes"]) == 0 and "metal" in capsys.readouterr().out
+
+
+def test_dense_ids_over_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(fusion, "RANGE", 3)
+    rows = [(r, i) for r in (2, 1) for i in (0, 1, 2, 5, 6, 7, 30, 31)]
+    got = fusion.dense_ids(spark.createDataFrame(rows, "run_idx int, id long"), "n", "run_idx", "id", ranged="id", runs="run_idx").collect()
+    assert [(r["run_idx"], r["id"]) for r in sorted(got, key=lambda r: r["n"])] == sorted(rows) and sorted(r["n"] for r in got) == list(range(1, 17))
