@@ -1,4 +1,4 @@
-"""Near-duplicate vectors by sorted passes over random-hyperplane hashes."""
+"""Near-duplicate vectors by tables of random-hyperplane buckets, each compared in full."""
 
 from __future__ import annotations
 
@@ -9,14 +9,26 @@ from pyspark.sql import functions as F
 
 from .common import Shelf, connected_components
 
-#: Passes, neighbours compared on each side and hash bits of a pass.
-PASSES, WINDOW, BITS = 12, 24, 62
+#: Points of an average bucket that its bits aim at, and points beyond which a bucket is cut into parts.
+BUCKET, HOT = 4096, 32_768
 #: Vectors of a component compared all to all in one task; larger ones go by leader and blocks.
 SMALL, BLOCK = 2048, 1024
 
 
-def _planes(dims: int, passes: int, seed: int) -> np.ndarray:
-    return np.random.default_rng([seed, dims]).standard_normal((dims, passes * BITS))
+def plan_tables(n: int, least: float, recall: float) -> tuple[int, int]:
+    """Bits of a table's key and number of tables.
+
+    A random hyperplane parts two vectors at angle t with probability t / pi, whatever else the table
+    holds, so a pair at the limit shares a bucket of `bits` planes with probability
+    (1 - t / pi)^bits; the number of tables is what brings this to `recall` for every such pair.
+    """
+    bits = max(0, int(np.ceil(np.log2(max(1, n) / BUCKET))))
+    together = (1 - np.arccos(least) / np.pi) ** bits
+    return bits, 1 if together == 1 else max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - together))))
+
+
+def _planes(dims: int, count: int, seed: int) -> np.ndarray:
+    return np.random.default_rng([seed, dims]).standard_normal((dims, count))
 
 
 def _unit(data: list[bytes]) -> np.ndarray:
@@ -48,52 +60,105 @@ def _pack(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys, "v").mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", x binary")
 
 
-def window_pairs(packed: DataFrame, least: float, passes: int = PASSES, window: int = WINDOW, seed: int = 7) -> DataFrame:
-    """Verified pairs (a, b) among `window` neighbours in each of the sorted passes.
+def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels, each its component's smallest number, after the edges (a, b)."""
+    while len(a):
+        label = label.copy()
+        np.minimum.at(label, np.maximum(label[a], label[b]), np.minimum(label[a], label[b]))
+        while (label[label] != label).any():
+            label = label[label]
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+    return label
+
+
+def _spanning(x: np.ndarray, side: np.ndarray, least: float) -> np.ndarray:
+    """The smallest row that each row is connected with by links of unit rows; of two parts, across them.
 
-    A pass orders the vectors by the signs of BITS random projections, taken as one lexicographic
-    key; ids break ties, so that even equal keys split over tasks. Each task streams its sorted
-    range and keeps the last `window` rows between batches.
+    Tiles are compared in single precision; what is near the limit, again in double.
     """
+    label, single = np.arange(len(x)), x.astype(np.float32)
+    cross = bool(side.any())
+    rows, columns = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if cross else (label, label)
+    for i in range(0, len(rows), 512):
+        for j in range(0 if cross else i, len(columns), 2048):
+            own, other = rows[i : i + 512], columns[j : j + 2048]
+            near = single[own] @ single[other].T
+            p, q = np.nonzero(near >= least - 1e-4)
+            a, b, value = own[p], other[q], near[p, q]
+            fresh = label[a] != label[b]
+            a, b, value = a[fresh], b[fresh], value[fresh]
+            close = value >= least + 1e-4
+            edge = np.flatnonzero(~close)
+            for k in range(0, len(edge), 1 << 16):
+                e = edge[k : k + (1 << 16)]
+                close[e] = np.einsum("ij,ij->i", x[a[e]], x[b[e]]) >= least
+            label = _unite(label, a[close], b[close])
+    return label
+
+
+def bucket_pairs(packed: DataFrame, least: float, recall: float, seed: int = 7) -> DataFrame:
+    """Verified pairs (a, b) that span what the links within the buckets of all tables connect.
+
+    All vectors of a bucket are compared, so that the chance of finding a pair does not depend on how
+    dense its surroundings are. A bucket of more than HOT vectors is cut into parts, and each two of
+    them meet in a task of their own.
+    """
+    n = packed.count()
+    bits, tables = plan_tables(n, least, recall)
+
+    def buckets(data: list[bytes], size: int) -> np.ndarray:
+        """Rows by tables; dimensions, table and bits make one number."""
+        signs = _unit(data) @ _planes(size // 8, tables * bits, seed) >= 0
+        key = (signs.reshape(len(data), tables, bits) * (1 << np.arange(bits, dtype=np.int64))).sum(2)
+        return ((size // 8 * tables + np.arange(tables)) << bits) + key
+
+    def grouped(batch):
+        data = batch.column("x").to_pylist()
+        for size in sorted({len(x) for x in data}):
+            own = np.array([k for k, x in enumerate(data) if len(x) == size])
+            some = [data[k] for k in own.tolist()]
+            yield own, some, buckets(some, size)
+
+    def count(batches):
+        for batch in batches:
+            for _, _, key in grouped(batch):
+                value, times = np.unique(key, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(times)], ["bucket", "n"])
+
+    large = {}
+    if n > HOT:
+        sizes = packed.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > HOT)
+        large = {r["bucket"]: -(-2 * r["n"] // HOT) for r in sizes.collect()}
 
     def keys(batches):
         for batch in batches:
-            data = batch.column("x").to_pylist()
             ids = batch.column("first").to_numpy()
-            for size in sorted({len(x) for x in data}):
-                own = [k for k, x in enumerate(data) if len(x) == size]
-                some = [data[k] for k in own]
-                unit = _unit(some)
-                signs = (unit @ _planes(size // 8, passes, seed) >= 0).reshape(len(own), passes, BITS)
-                key = (signs * (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))).sum(2)
-                for p in range(passes):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), size * 64 + p, np.int64)), pa.array(key[:, p]), pa.array(ids[own]), pa.array(some, pa.binary())], ["pass", "key", "first", "x"])
-
-    def compare(batches):
-        held: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
-        for batch in batches:
-            run_, ids, data = batch.column("pass").to_numpy(), batch.column("first").to_numpy(), batch.column("x").to_pylist()
-            for r in dict.fromkeys(run_.tolist()):
-                own = np.flatnonzero(run_ == r)
-                unit, who = _unit([data[k] for k in own.tolist()]), ids[own]
-                fresh = 0
-                if held and held[0] == r:
-                    fresh, unit, who = len(held[1]), np.concatenate((held[2], unit)), np.concatenate((held[1], who))
-                a, b = [], []
-                for o in range(1, min(window, len(who) - 1) + 1):
-                    close = np.einsum("ij,ij->i", unit[:-o], unit[o:]) >= least
-                    close[: max(0, fresh - o)] = False
-                    at = np.flatnonzero(close)
-                    a.append(who[at])
-                    b.append(who[at + o])
-                if a:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-                held = (r, who[-window:], unit[-window:])
-
-    spread = packed.mapInArrow(keys, "pass long, key long, first long, x binary")
-    order = ["pass", "key", "first"]
-    tasks = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = spread.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(compare, "a long, b long")
+            for own, some, key in grouped(batch):
+                with np.errstate(over="ignore"):
+                    singles = [np.frombuffer(x).astype(np.float32) for x in some]
+                some = [s.tobytes() if (s == np.frombuffer(x)).all() else x for s, x in zip(singles, some, strict=True)]  # exact, or as it is
+                who = ids[own]
+                for t in range(tables):
+                    table = pa.array(some, pa.binary())
+                    parts = np.array([large.get(k, 1) for k in key[:, t].tolist()])
+                    part = (who.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts
+                    for other in range(int(parts.max())):
+                        at = np.flatnonzero(other < parts)
+                        low, high = np.minimum(part[at], other), np.maximum(part[at], other)
+                        side = (part[at] > other).astype(np.int8)
+                        yield pa.RecordBatch.from_arrays([pa.array(key[at, t]), pa.array(low * parts[at] + high), pa.array(side), pa.array(who[at]), table.take(pa.array(at))], ["bucket", "cell", "side", "first", "x"])
+
+    def compare(table: pa.Table) -> pa.Table:
+        dims = int(table["bucket"][0].as_py() >> bits) // tables
+        ids, data = table["first"].to_numpy(), table["x"].to_pylist()
+        wide = [x if len(x) == dims * 8 else np.frombuffer(x, np.float32).astype(float).tobytes() for x in data]
+        label = _spanning(_unit(wide), table["side"].to_numpy(), least)
+        at = np.flatnonzero(label != np.arange(len(label)))
+        return pa.table({"a": ids[label[at]], "b": ids[at]})
+
+    spread = packed.mapInArrow(keys, "bucket long, cell long, side byte, first long, x binary")
+    found = spread.groupBy("bucket", "cell").applyInArrow(compare, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
 
 
@@ -101,11 +166,12 @@ def _close(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
     return x @ y.T >= least
 
 
-def links(vectors: DataFrame, least: float = 0.95, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+def links(vectors: DataFrame, least: float = 0.95, recall: float = 0.999) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id and kept.
 
-    Equal vectors are one point with a count. Verified pairs of the sorted passes are united; then
-    all pairs within a component are counted, so that a vector's links do not depend on the window:
+    Equal vectors are one point with a count. Verified pairs within buckets are united, each link being
+    found with probability `recall` or more; up to BUCKET points are one bucket, which is exact. Then
+    all pairs within a component are counted, so that a vector's links do not depend on the buckets:
     in components of up to SMALL points by comparing all; in larger ones the points within half the
     angle of the component's smallest id are linked by the triangle inequality without comparing,
     and the others are compared with all of the component in blocks. Null, zero and non-finite
@@ -117,7 +183,7 @@ def links(vectors: DataFrame, least: float = 0.95, passes: int = PASSES, window:
     points = named.groupBy("h1", "h2").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"), F.any_value("v").alias("v"))
     points = points.withColumn("first", F.col("first"))
     packed = shelf.put(_pack(points, "h1", "h2", "first", "copies"))
-    pairs = window_pairs(packed.select("first", "x"), least, passes, window)
+    pairs = bucket_pairs(packed.select("first", "x"), least, recall)
     groups = shelf.put(connected_components(shelf, pairs))
     members = packed.join(groups, packed["first"] == groups["node"]).select("component", "first", "copies", "x")
     sizes = groups.groupBy("component").agg(F.count("*").alias("size"))

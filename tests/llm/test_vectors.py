@@ -62,6 +62,41 @@ def test_links_equal_brute_force(spark, monkeypatch, small):
     assert all(x["kept"] == (x["vec_id"] == x["component_id"]) and x["component_id"] <= x["vec_id"] for x in got.values())
 
 
+@pytest.mark.parametrize("hot", [1500, 32_768])
+def test_links_in_a_dense_third(spark, monkeypatch, hot):
+    monkeypatch.setattr(neardup, "BUCKET", 512)
+    monkeypatch.setattr(neardup, "HOT", hot)
+    r, dims, n = np.random.default_rng(1), 64, 9000
+
+    def unit(v):
+        return v / np.linalg.norm(v, axis=-1, keepdims=True)
+
+    v = unit(r.standard_normal((n, dims)))
+    axis = unit(r.standard_normal(dims))
+    across = unit(r.standard_normal((n // 3, dims)))
+    across = unit(across - (across @ axis)[:, None] * axis)
+    v[: n // 3] = math.sqrt(0.88) * axis + math.sqrt(0.12) * across  # cosines of about 0.88 to each other
+    for k in range(0, 600, 2):  # planted pairs at 0.951 to 0.97 in the cone, and as many outside
+        for i in (k, n // 3 + k):
+            w = unit(r.standard_normal(dims))
+            w = unit(w - (w @ v[i]) * v[i])
+            c = r.uniform(0.951, 0.97)
+            v[i + 1] = c * v[i] + math.sqrt(1 - c * c) * w
+    v = v.astype(np.float32)
+    ids = r.permutation(n)
+    got = {x["vec_id"]: x["n_links"] for x in neardup.links(spark.createDataFrame([(int(i), x.tolist(), 1, 0.0) for i, x in zip(ids, v, strict=True)], KIND)).collect()}
+    x = unit(v.astype(float))
+    want = np.concatenate([(x[k : k + 1000] @ x.T >= 0.95).sum(1) for k in range(0, n, 1000)]) - 1
+    have = np.array([got[int(i)] for i in ids])
+    assert want[:600].sum() >= 600 and (have <= want).all() and have.sum() >= 0.995 * want.sum()
+
+
+def test_tables_hold_recall_at_any_size():
+    for n in (10**3, 10**5, 10**7):
+        bits, tables = neardup.plan_tables(n, 0.95, 0.999)
+        assert 1 - (1 - (1 - math.acos(0.95) / math.pi) ** bits) ** tables >= 0.999
+
+
 def test_links_of_empty_and_repeated(spark):
     assert neardup.links(spark.createDataFrame([], KIND)).count() == 0
     rows = neardup.links(spark.createDataFrame([(1, [1.0, 0.0], 1, 0.0), (1, [1.0, 0.0], 1, 0.0), (2, [2.0, 0.0], 1, 0.0)], KIND)).collect()
