@@ -18,6 +18,8 @@ UNKNOWN = "und"
 PIECE, WORD, BLOCK, CACHE = 12, 40, 8_000, 250_000
 _BASE = np.uint64(0x100000001B3)
 _FLOOR = 1e-7
+#: Characters after which sums are rescaled: they stay far from underflow at any piece probability that can be learned.
+RESCALE = 8
 
 
 def words_of(text: str) -> list[str]:
@@ -78,7 +80,7 @@ class Scorer:
         self.logs = np.concatenate(parts)
 
     def _forward(self, words: list[str]) -> np.ndarray:
-        """All words at once: alpha[t] sums over the pieces that end at character t."""
+        """All words at once: alpha[t] sums over the pieces that end at character t, rescaled every RESCALE characters."""
         lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
         top, n = int(lengths.max()), len(words)
         codes = np.zeros((n, top), np.uint64)
@@ -87,6 +89,7 @@ class Scorer:
         codes[inside] = flat
         alpha = np.zeros((top + 1, n, self.langs))
         alpha[0] = 1
+        scale, out = np.zeros((n, self.langs)), np.zeros((n, self.langs))
         hashes = {}
         h = np.zeros((n, top), np.uint64)
         for size in range(1, min(PIECE, top) + 1):  # hash of the `size` characters from each start
@@ -103,7 +106,13 @@ class Scorer:
                 if len(who):
                     alpha[t, who] += alpha[t - size, who] * self.probs[size][piece[who]]
             alpha[t] += alpha[t - 1] * (_FLOOR * (alpha[t] == 0))
-        return np.log(alpha[lengths, np.arange(n)])
+            ended = np.flatnonzero(lengths == t)
+            out[ended] = scale[ended] + np.log(alpha[t, ended])
+            if t % RESCALE == 0 and t < top:
+                now = alpha[t].copy()
+                scale += np.log(now)
+                alpha[max(0, t + 1 - PIECE) : t + 1] /= now
+        return out
 
     def _forward_long(self, word: str) -> np.ndarray:
         """One long word, rescaled at each character."""

@@ -289,6 +289,21 @@ def test_language_forward_sums_all_segmentations():
         assert np.allclose(scorer._forward_long(w), np.log(brute("▁" + w)))
 
 
+def test_language_of_long_runs_of_an_unlearned_script(spark):
+    path = P.path("piece_bpe_32k.model")
+    _, pieces = langid._load(path)
+    scorer = langid.Scorer(path, np.full((len(pieces), 2), 1e-13) * [1, 2])
+    words = ["中" * k for k in (1, 7, 8, 9, 15, 16, 17, 31, 39, 40)] + ["internationalisation" * 2]
+    scorer.lookup(set(words))
+    for w in words:
+        assert np.isfinite(scorer.logs[scorer.known[w]]).all()
+        assert np.allclose(scorer.logs[scorer.known[w]], scorer._forward_long(w))
+    model = ["de", "en"], np.log([0.5, 0.5]), np.full((len(pieces), 2), 1e-13) * [1, 2]
+    docs = spark.createDataFrame([(1, "中" * 35)], "doc_id long, text string")
+    assert [r["lang_pred"] for r in langid.predict(docs, path, model).collect()] == ["en"]
+    assert langid.keep_identified(docs, path, model).count() == 1
+
+
 def test_language_on_tables(spark, odd, none):
     path = P.path("piece_bpe_32k.model")
     rows = [(i, "the house and the garden with water" if i % 2 else "das haus und der garten mit wasser", "en" if i % 2 else "de", "s", 1, "e") for i in range(40)]
