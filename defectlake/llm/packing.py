@@ -16,8 +16,8 @@ from .common import keep_one, slices, texts_of
 from .merges import MergeReplay
 
 WINDOW = 2048
-#: Words kept per worker; bytes hashed at once; characters and documents of one BM25 shard; terms asked and neighbours fetched per query.
-CACHE_WORDS, SLICE, SHARD_CHARS, SHARD_DOCS, TERMS, NEIGHBOURS = 650_000, 1 << 19, 5 << 20, 4096, 12, 8
+#: Words kept per worker; bytes hashed at once; characters and documents of one BM25 shard; neighbours fetched per query.
+CACHE_WORDS, SLICE, SHARD_CHARS, SHARD_DOCS, NEIGHBOURS = 650_000, 1 << 19, 5 << 20, 4096, 8
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -233,7 +233,7 @@ def spread(flat: np.ndarray, begin: np.ndarray, at: np.ndarray) -> tuple[np.ndar
 
 
 class Bm25:
-    """Inverted index of one shard; a query takes a document's heaviest terms."""
+    """Inverted index of one shard; a query takes all terms of a document."""
 
     def __init__(self, terms: list[np.ndarray], k1: float = 1.2, b: float = 0.75) -> None:
         n = len(terms)
@@ -253,12 +253,8 @@ class Bm25:
         order = np.argsort(term)
         self.doc, self.weight = doc[order], weight[order]
         self.begin = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=len(df)))))
-        # the heaviest terms of each document, rarest first
-        rarity = np.empty(len(idf), np.int64)
-        rarity[np.lexsort((np.arange(len(idf)), -idf))] = np.arange(len(idf))
-        rank = np.argsort((doc.astype(np.int64) << 32) | rarity[term])
         first = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=n))))
-        self.asked = [term[rank[first[i] : min(first[i + 1], first[i] + TERMS)]] for i in range(n)]
+        self.asked = [term[first[i] : first[i + 1]] for i in range(n)]
         self.n = n
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:

@@ -124,6 +124,21 @@ def test_packing_prefers_lexical_neighbours():
     assert order.index(2) < order.index(1)
 
 
+def test_packing_scores_all_terms_of_a_long_document():
+    rare, middling = list(range(12)), list(range(100, 130))
+    chance = [[x, 1000 + x] for x in rare]  # each shares one rare term with the seed
+    terms = [np.array(x, np.int32) for x in ([rare + middling] + chance + [middling + list(range(2000, 2010)), middling[:15], middling[15:]])]
+    index = packing.Bm25(terms)
+    unused = np.ones(len(terms), bool)
+    unused[0] = False
+    got = index.neighbours(0, unused)
+    assert got[:3].tolist()[0] in (13, 14, 15) and set(got[:3].tolist()) == {13, 14, 15}
+    n, sizes = len(terms), np.array([len(x) for x in terms], float)
+    df = {t: sum(t in x for x in terms) for t in terms[0].tolist()}
+    want = [sum(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * sizes[k] / sizes.mean())) for t in df if t in x) for k, x in enumerate(terms)]
+    assert got.tolist() == sorted(range(1, n), key=lambda k: (-round(want[k], 9), k))[: packing.NEIGHBOURS]
+
+
 def brute_fingerprint(text, words=4):
     import xxhash
 
