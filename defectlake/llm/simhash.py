@@ -7,23 +7,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shelf, connected_components, keep_one, texts_of
+from .common import Shelf, connected_components, keep_one, slices, texts_of
 
 SEED = 42
 
 
-def lanes_of(text: str, words: int = 4, lanes: int = 1, repeats: bool = True) -> np.ndarray:
-    """The SimHash of a text in `lanes` unsigned 64-bit words, the first from XXH64 itself.
+def shingles_of(text: str, words: int = 4, repeats: bool = True) -> np.ndarray:
+    """XXH64 of each run of `words` words, or of the whole of a shorter text; without repeats sorted.
 
-    Words are runs of anything but ASCII white space, after lower-casing A-Z; a bit is set if more
-    than half of the shingles' hashes (with repeats, or of the distinct ones) have it. No word: zero. Further lanes mix
-    the same hashes, so a shingle is hashed once.
+    Words are runs of anything but ASCII white space, after lower-casing A-Z.
     """
     from xxhash import xxh64_intdigest
 
     parts = text.encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return np.zeros(lanes, np.uint64)
+        return np.zeros(0, np.uint64)
     whole = b" ".join(parts)
     if len(parts) <= words:
         hashes = np.array([xxh64_intdigest(whole, SEED)], np.uint64)
@@ -35,6 +33,16 @@ def lanes_of(text: str, words: int = 4, lanes: int = 1, repeats: bool = True) ->
     if not repeats:
         hashes = np.sort(hashes)
         hashes = hashes[np.append(True, hashes[1:] != hashes[:-1])]
+    return hashes
+
+
+def lanes_of(text: str, words: int = 4, lanes: int = 1, repeats: bool = True) -> np.ndarray:
+    """The SimHash of a text in `lanes` unsigned 64-bit words, the first from XXH64 itself.
+
+    A bit is set if more than half of the shingles' hashes (with repeats, or of the distinct ones)
+    have it. No word: zero. Further lanes mix the same hashes, so a shingle is hashed once.
+    """
+    hashes = shingles_of(text, words, repeats)
     out = np.zeros(lanes, np.uint64)
     for lane in range(lanes):
         if lane:  # the finaliser of splitmix64
@@ -176,8 +184,10 @@ def near_duplicates(docs: DataFrame, bits: int = 4, words: int = 4, segments: in
     return fps.join(named, "fp")
 
 
-#: Lanes whose complete distance is verified, at least: 1024 bits tell 0.8 from 0.75 at most times.
+#: Lanes whose complete distance a candidate passes, at least, before its shingles are compared.
 LANES = 16
+#: Share of differing bits of four shingles and the same with a fifth, the most at a similarity of 0.8: ties leave bits unset.
+SHORT = 0.1875
 
 
 def plan_segments(n: int, similarity: float, recall: float = 0.98) -> tuple[int, int, int, float]:
@@ -196,12 +206,12 @@ def plan_segments(n: int, similarity: float, recall: float = 0.98) -> tuple[int,
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
-    """doc_id and component_id of documents linked by estimated shingle similarity.
+    """doc_id and component_id of documents linked by the Jaccard similarity of their shingles.
 
     Wide fingerprints are looked up by Hamming balls of radius one in each segment; candidates are
-    first filtered by one lane, then verified by their complete distance, with half a
-    standard deviation of slack over the expected one. Equal fingerprints are one vertex. Null and empty
-    texts have fingerprint zero and are copies of each other.
+    first filtered by one lane, then by their complete distance, with three standard deviations of
+    slack over the expected one, and decided by their sets of distinct shingles. Equal fingerprints
+    are one vertex. Null and empty texts have fingerprint zero and are copies of each other.
     """
     shelf = Shelf(docs.sparkSession)
     n = docs.count()
@@ -217,9 +227,11 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5) ->
     distinct = shelf.put(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
     per = 64 // width
     mask, bits = F.lit((1 << width) - 1).cast("long"), 64 * lanes
-    # all three bounds leave room for chance in what the share of differing bits says
-    limit = int(round(bits * share + 0.5 * np.sqrt(bits * share * (1 - share))))
-    lane_limit = int(round(64 * share + 3.5 * np.sqrt(64 * share * (1 - share))))
+    # the bounds leave room for chance in what the share of differing bits says; `sure` leaves none to a pivot's link
+    wide = max(share, SHORT)
+    limit = int(round(bits * wide + 3 * np.sqrt(bits * wide * (1 - wide))))
+    sure = int(round(bits * share - 4 * np.sqrt(bits * share * (1 - share))))
+    lane_limit = int(round(64 * wide + 3.5 * np.sqrt(64 * wide * (1 - wide))))
 
     def key(s: int):
         return F.shiftrightunsigned(F.col("fp")[s // per], (s % per) * width).bitwiseAND(mask)
@@ -239,18 +251,42 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5) ->
     probes = distinct.select(F.col("first").alias("b"), lane.alias("y"), F.explode(F.concat(*keys, *[ball(s) for s in range(segments)])).alias("key"))
     filtered = (F.col("a") != F.col("b")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= lane_limit)
 
-    def linked(p, q):
-        return sum((F.bit_count(p[i].bitwiseXOR(q[i])) for i in range(lanes)), F.lit(0)) <= limit
+    def distance(p, q):
+        return sum((F.bit_count(p[i].bitwiseXOR(q[i])) for i in range(lanes)), F.lit(0))
 
-    near = spanning_pairs(shelf, stored, probes, filtered, distinct.select(F.col("first").alias("id"), F.col("fp").alias("value")), linked)
+    near = spanning_pairs(shelf, stored, probes, filtered, distinct.select(F.col("first").alias("id"), F.col("fp").alias("value")), lambda p, q: distance(p, q) <= sure)
     whole = near.join(distinct.select(F.col("first").alias("a"), F.col("fp").alias("p")), "a").join(distinct.select(F.col("first").alias("b"), F.col("fp").alias("q")), "b")
-    pairs = whole.filter(linked(F.col("p"), F.col("q"))).select("a", "b")
-    groups = connected_components(shelf, pairs)
+    close = shelf.put(whole.filter(distance(F.col("p"), F.col("q")) <= limit).select("a", "b", F.col("p")[0].alias("x"), F.col("q")[0].alias("y")))
+    groups = connected_components(shelf, _verified(shelf, docs, close, similarity, words))
     named = distinct.join(groups, F.col("first") == F.col("node"), "left")
     named = shelf.put(named.select("fp", F.coalesce("component", "first").alias("component_id")))
     return fps.join(named, "fp").select("doc_id", "component_id")
 
 
+def _verified(shelf: Shelf, docs: DataFrame, close: DataFrame, similarity: float, words: int) -> DataFrame:
+    """The pairs (a, b) of `close` whose distinct shingles have a Jaccard similarity of `similarity` or more.
+
+    `x` and `y` are first lanes, which tell texts of one repeated doc_id apart.
+    """
+
+    def run(batches):
+        for batch in slices(batches):
+            sets = [shingles_of(t, words, repeats=False) for t in texts_of(batch)]
+            lane = np.array([lanes_of(t, words, 1, repeats=False)[0] for t in texts_of(batch)], np.uint64)
+            begin = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
+            flat = pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lane.view(np.int64)), pa.ListArray.from_arrays(pa.array(begin), flat)], ["id", "lane", "set"])
+
+    asked = close.select(F.col("a").alias("doc_id")).unionByName(close.select(F.col("b").alias("doc_id"))).distinct()
+    sets = docs.select("doc_id", "text").join(asked, "doc_id", "left_semi").mapInArrow(run, "id long, lane long, set array<long>")
+    sets = shelf.put(sets.dropDuplicates(["id", "lane"]))
+    left = sets.select(F.col("id").alias("a"), F.col("lane").alias("x"), F.col("set").alias("s"))
+    right = sets.select(F.col("id").alias("b"), F.col("lane").alias("y"), F.col("set").alias("t"))
+    both = close.join(left, ["a", "x"]).join(right, ["b", "y"])
+    both = both.select("a", "b", F.size("s").alias("m"), F.size("t").alias("n"), F.size(F.array_intersect("s", "t")).alias("shared"))
+    return both.filter(F.try_divide("shared", F.col("m") + F.col("n") - F.col("shared")) >= similarity).select("a", "b")
+
+
 def keep_first(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
     """The document of smallest doc_id of each near-duplicate group, with its columns.
 

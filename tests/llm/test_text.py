@@ -233,6 +233,21 @@ def test_hot_keys_keep_components(spark, monkeypatch, hot):
     assert [wide[i] for i in range(160)] == want
 
 
+def test_copies_are_told_at_the_limit(spark):
+    rng = np.random.default_rng(3)
+    rows, want = [], set()
+    for k in range(240):  # 400 shingles, of which 356 (similarity 0.802) or 352 (0.786) are shared
+        size = 404 if k < 200 else 9  # and five shingles with four of them (0.8)
+        w = [f"w{x}" for x in rng.integers(0, 10**6, size)]
+        shared = (size - 4) * 356 // 400 if k < 100 else 352
+        other = w[: shared + 4] + [f"n{x}" for x in rng.integers(0, 10**6, size - shared - 4)] if k < 200 else w[:8]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(other))]
+        want |= {2 * k + 1} if k < 100 or k >= 200 else set()
+    kept = {r["doc_id"] for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    gone = {i for i, _ in rows} - kept
+    assert gone <= want and len(gone & set(range(200))) >= 95 and len(gone & set(range(400, 480))) >= 32
+
+
 def test_segments_follow_size():
     small, large = simhash.plan_segments(1000, 0.8), simhash.plan_segments(10**9, 0.8)
     assert small[0] == 16 and large[0] > 24 and large[1] > small[1]
