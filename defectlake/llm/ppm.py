@@ -1,16 +1,23 @@
-"""Language-model scores by partial matching over byte contexts, for whole documents.
-
-A token (a lower-cased word, or the end of the text) is coded by its own count or, with the escape
-probability of a first symbol, by a byte-context trie of order `order` within the token, with
-method-C escapes and exclusion of the symbols of the longer context. There is one such model per
-class of training documents (their language, say), and under each the document's own words so far
-may take part with a weight of n / (strength + n) after n of them. A document's probability is the
-mixture of its probabilities under all classes and strengths, which adapts to it from its first
-words on.
+"""Language-model scores by prediction by partial matching over byte contexts of whole documents.
+
+A document is its lower-cased words, each followed by a blank, and a line feed. Each byte is coded
+after the ORDER bytes before it, across word boundaries: in the longest context that training has
+seen, or after an escape in the next shorter one, without the symbols of the longer one. Escapes
+take half a count of each distinct symbol (method D). The codes begun at the orders of STARTS are
+blended, a longer one with weight n / (n + TRUST * q) for a context seen n times before q symbols.
+At last a document's own words may repeat, with a weight of n / (strength + n) after n words: its
+probability is the mixture over the strengths of this adaptation, no adaptation being one of them.
+
+The counts never meet in one place: each block of documents sends its distinct windows of
+ORDER + 1 bytes to tasks by hash, where they are added up; their sums go to tasks by the three bytes
+before the symbol, which have all longer contexts, so each such task holds a part of the trie and
+prices its windows; and the prices go back by the same ways. Only counts of windows of three bytes,
+2^24 at most, are broadcast.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -21,381 +28,500 @@ from pyspark.sql import functions as F
 
 from .common import Shelf, keep_one, texts_of, thrifty
 
-#: Characters of a block of documents; words of a scoring task; windows of all tries together.
-BLOCK_CHARS, TASK_WORDS, MOST_WINDOWS = 14 << 20, 200_000, 4_000_000
-CHUNK = 20_000
+#: Bytes of context, orders at which codes begin, symbols' weight against a longer context's uses.
+ORDER, STARTS, TRUST = 7, (3, 5, 7), 5.0
+#: Orders of the broadcast table, by whose bytes the trie is parted.
+LOW = 2
+#: Characters of a block of documents, of the corpus per task, and symbols handled at once.
+BLOCK_CHARS, TASK_CHARS, CHUNK = 28 << 20, 32 << 20, 1 << 20
+#: Steps of a log10 probability while it travels: a byte's is exact to half a step.
+STEPS = 2048
 #: Strengths of the trained model against the document's own words, with their shares; the rest is the trained model alone.
 STRENGTHS = {5000.0: 0.1, 200.0: 0.1}
 END = b"\n"
 
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_MADE = "kind byte, block long, part long, a binary, b binary, c binary"
+_SCORED = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
 
 def squeeze(values: np.ndarray, kind: str, steps: bool = False) -> bytes:
-    """Compressed bytes of an array; with `steps`, of the differences of whole numbers."""
+    """Compressed bytes of an array, place by place; with `steps`, of the differences of whole numbers."""
     import zstandard
 
     values = values.astype(kind)
-    return zstandard.compress((np.diff(values, prepend=values.dtype.type(0)) if steps else values).tobytes(), 1)
+    values = np.diff(values, prepend=values.dtype.type(0)) if steps else values
+    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.dtype.itemsize).T).tobytes(), 3)
 
 
 def loosen(data: bytes, kind: str, steps: bool = False) -> np.ndarray:
     import zstandard
 
-    values = np.frombuffer(zstandard.decompress(data), kind)
+    size = np.dtype(kind).itemsize
+    values = np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(size, -1).T).view(kind).ravel()
     return np.cumsum(values, dtype=values.dtype) if steps else values
 
 
+def squeeze_logs(logs: np.ndarray) -> bytes:
+    """Log10 probabilities in steps of 1 / STEPS."""
+    steps = np.rint(logs * -STEPS)
+    wide = bool(steps.max(initial=0) >= 1 << 16)
+    return bytes([wide]) + squeeze(steps, "<u4" if wide else "<u2")
+
+
+def loosen_logs(data: bytes) -> np.ndarray:
+    return loosen(data[1:], "<u4" if data[0] else "<u2").astype(np.float32) / np.float32(-STEPS)
+
+
 def tokens_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def windows(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each symbol of each word with its context, packed, and the number of its word.
+def mask(n: int) -> np.uint64:
+    return np.uint64(2 ** (8 * n) - 1)
+
 
-    A word's symbols are its bytes and a closing blank; its context begins with a blank. The end of
-    a text is the one symbol \\n.
+class Stream:
+    """Symbols of documents given as runs of word numbers, in chunks of about CHUNK.
+
+    Word `len(words)` is the padding before a text, ORDER line feeds, and the next one its end.
     """
-    ends = np.array([k for k, w in enumerate(words) if w == END], np.int64)
-    data = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
-    blank = data == 32
-    at = np.arange(len(data))
-    last = np.maximum.accumulate(np.where(blank, at, 0))
-    start = np.concatenate(([0], last[:-1]))
-    word = np.cumsum(blank)[:-1] - 1
-    key = np.zeros(len(data), np.uint64)
-    for k in range(order, -1, -1):
-        inside = at - start >= k
-        key[inside] = (key[inside] << np.uint64(8)) | data[at[inside] - k]
-    key, word = key[1:], word
-    if len(ends):  # \n is not followed by a closing blank
-        drop = np.isin(word, ends) & ((key & np.uint64(255)) == 32)
-        key, word = key[~drop], word[~drop]
-    return key, word
-
-
-def sizes_of(key: np.ndarray, order: int) -> np.ndarray:
-    """Symbols of packed windows; shorter ones begin with the blank before their word."""
-    size = np.full(len(key), order + 1)
-    for n in range(2, order + 1):
-        size[(key >> np.uint64(8 * (n - 1))) == 32] = n
-    return size
+
+    def __init__(self, words: list[bytes], seq: np.ndarray, lengths: np.ndarray) -> None:
+        self.flat = np.frombuffer(b"".join(w + b" " for w in words) + END * (ORDER + 1), np.uint8)
+        sizes = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
+        sizes = np.append(sizes, [ORDER, 1])
+        self.begin = np.concatenate(([0], np.cumsum(sizes)))
+        self.pad, self.lengths = len(words), lengths
+        docs = np.repeat(np.arange(len(lengths)), lengths)
+        self.tokens = np.full(len(seq) + 2 * len(lengths), self.pad, np.int64)
+        self.tokens[np.arange(len(seq)) + 2 * docs + 1] = seq
+        self.last = np.cumsum(lengths + 2) - 1
+        self.tokens[self.last] = self.pad + 1
+        self.size = self.begin[self.tokens + 1] - self.begin[self.tokens]
+        #: Windows up to the end of each document.
+        self.ends = np.cumsum(self.size)[self.last] - ORDER * np.arange(1, len(lengths) + 1)
+
+    def chunks(self):
+        """First and last document, tokens (without paddings), packed windows, and the window at which each token begins."""
+        first = 0
+        while first < len(self.ends):
+            base = self.ends[first - 1] if first else 0
+            stop = max(first + 1, int(np.searchsorted(self.ends, base + CHUNK, "right")))
+            run = slice(self.last[first - 1] + 1 if first else 0, self.last[stop - 1] + 1)
+            own, n = self.tokens[run], self.size[run]
+            at = np.cumsum(n) - n
+            where = np.repeat((self.begin[own] - at).astype(np.int32 if len(self.flat) < 1 << 30 else np.int64), n)
+            where += np.arange(len(where), dtype=where.dtype)
+            data = self.flat[where]
+            key = np.zeros(len(data), np.uint64)
+            for k in range(ORDER, -1, -1):
+                key <<= np.uint64(8)
+                key[k:] |= data[: len(data) - k]
+            word = own != self.pad
+            yield first, stop, own[word], key[np.repeat(word, n)], (np.cumsum(n[word]) - n[word])
+            first = stop
+
+
+    def distinct(self, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct windows, and their uses in the documents of `learn`."""
+        size = np.diff(self.ends, prepend=0)
+        room = [np.empty(int(size[~learn].sum()), np.uint64), np.empty(int(size[learn].sum()), np.uint64)]
+        held = [0, 0]
+        for first, stop, _, key, _ in self.chunks():
+            trained = np.repeat(learn[first:stop], size[first:stop])
+            for y, own in enumerate((key[~trained], key[trained])):
+                room[y][held[y] : held[y] + len(own)] = own
+                held[y] += len(own)
+        other, key = room
+        del room
+        key.sort()
+        begin = _begins(key)
+        n = np.diff(np.append(begin, len(key)))
+        key = key[begin]
+        other.sort()
+        other = other[_begins(other)]
+        if len(key):
+            at = np.minimum(np.searchsorted(key, other), len(key) - 1)
+            other = other[key[at] != other]
+        at = np.searchsorted(key, other)
+        return np.insert(key, at, other), np.insert(n, at, 0)
 
 
 class Trie:
-    """Byte contexts of all orders in arrays, from windows and their counts."""
+    """Byte contexts of orders up to ORDER: the low ones of the corpus, the others of some windows."""
 
-    def __init__(self, key: np.ndarray, count: np.ndarray, order: int) -> None:
-        self.order, size = order, sizes_of(key, order)
+    def __init__(self, low: tuple[np.ndarray, np.ndarray], key: np.ndarray, count: np.ndarray) -> None:
         self.entry, self.count, self.context, self.total, self.kinds, self.shared = [], [], [], [], [], []
-        for k in range(order + 1):
-            long_ = size >= k + 1
-            entry, inverse = np.unique(key[long_] & self._mask(k + 1), return_inverse=True)
-            n = np.bincount(inverse, count[long_], len(entry))
+        for k in range(ORDER + 1):
+            of, n = low if k <= LOW else (key, count)
+            entry, inverse = np.unique(of & mask(k + 1), return_inverse=True)
+            n = np.bincount(inverse, n, len(entry))
             context, begin = np.unique(entry >> np.uint64(8), return_index=True)
             self.entry.append(entry)
             self.count.append(n)
             self.context.append(context)
             self.total.append(np.add.reduceat(n, begin) if len(n) else n)
             self.kinds.append(np.diff(np.append(begin, len(entry))).astype(float))
-            if k:  # what the shorter context counted of this one's symbols
-                below = self.count[k - 1][np.searchsorted(self.entry[k - 1], entry & self._mask(k))]
-                self.shared.append(np.add.reduceat(below, begin) if len(n) else below)
+            if k and len(entry):  # what the shorter context counted of this one's symbols
+                below = self.count[k - 1][np.searchsorted(self.entry[k - 1], entry & mask(k))]
+                self.shared.append(np.add.reduceat(below, begin))
             else:
                 self.shared.append(np.zeros(0))
 
-    @staticmethod
-    def _mask(n: int) -> np.uint64:
-        return np.uint64((1 << (8 * n)) - 1)
+    def _at(self, k: int, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of contexts of order k, and which there are."""
+        if not len(self.context[k]):
+            return np.zeros(len(context), np.int64), np.zeros(len(context), bool)
+        at = np.minimum(np.searchsorted(self.context[k], context), len(self.context[k]) - 1)
+        return at, self.context[k][at] == context
 
-    def log10(self, key: np.ndarray) -> np.ndarray:
-        """Log probability of each window's last symbol after the symbols before it."""
-        size = sizes_of(key, self.order)
+    def coded(self, key: np.ndarray, order: int) -> np.ndarray:
+        """Log10 probability of each window's last symbol by escapes from `order` down, with exclusion."""
         logs, open_ = np.zeros(len(key)), np.ones(len(key), bool)
         gone, kinds = np.zeros(len(key)), np.zeros(len(key))  # excluded count at this order, and symbols
-        for k in range(self.order, -1, -1):
-            who = np.flatnonzero(open_ & (size >= k + 1))
-            if not len(who) or not len(self.context[k]):
-                continue
-            entry = key[who] & self._mask(k + 1)
-            context = entry >> np.uint64(8)
-            at = np.minimum(np.searchsorted(self.context[k], context), len(self.context[k]) - 1)
-            has = self.context[k][at] == context
+        for k in range(order, -1, -1):
+            who = np.flatnonzero(open_)
+            entry = key[who] & mask(k + 1)
+            at, has = self._at(k, entry >> np.uint64(8))
             who, entry, at = who[has], entry[has], at[has]
+            if not len(who):
+                continue
             live, fresh = self.total[k][at] - gone[who], self.kinds[k][at] - kinds[who]
             place = np.minimum(np.searchsorted(self.entry[k], entry), len(self.entry[k]) - 1)
             hit = self.entry[k][place] == entry
-            logs[who[hit]] += np.log10(self.count[k][place[hit]] / (live[hit] + fresh[hit]))
+            escape = np.where(fresh > 0, fresh / (2 * np.maximum(live, 1)), 1)
+            logs[who[hit]] += np.log10((1 - escape[hit]) * self.count[k][place[hit]] / live[hit])
             open_[who[hit]] = False
-            miss = ~hit & (fresh > 0)
-            logs[who[miss]] += np.log10(fresh[miss] / (live[miss] + fresh[miss]))
+            logs[who[~hit]] += np.log10(escape[~hit])
             kinds[who[~hit]] = self.kinds[k][at[~hit]]
             gone[who[~hit]] = self.shared[k][at[~hit]] if k else 0
         logs[open_] -= np.log10(np.maximum(1, 256 - kinds[open_]))
         return logs
 
-
-def score(docs: DataFrame, learn: Column, group: str | None = "lang", order: int = 4, most_groups: int = 8) -> DataFrame:
+    def log10(self, key: np.ndarray) -> np.ndarray:
+        """The blend of the codes begun at STARTS."""
+        p = np.power(10.0, self.coded(key, STARTS[0]))
+        for k in STARTS[1:]:
+            at, has = self._at(k, (key & mask(k + 1)) >> np.uint64(8))
+            weight = np.zeros(len(key))
+            n, q = self.total[k][at[has]], self.kinds[k][at[has]]
+            weight[has] = n / (n + TRUST * q)
+            some = np.flatnonzero(has)
+            p[some] = weight[some] * np.power(10.0, self.coded(key[some], k)) + (1 - weight[some]) * p[some]
+        return np.log10(p)
+
+
+def score(docs: DataFrame, learn: Column) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every whole document.
 
-    `learn` marks the training rows; `group` names the column of their classes, of which the
-    `most_groups` commonest have models of their own and all others share one. Null and empty texts
-    are the end token alone; repeated rows give repeated results; with no training row all tokens
-    are unknown and only the trie's uniform bytes count; an empty table gives an empty result.
-
-    Words are counted per block of documents first; blocks send each distinct word once, whatever
-    its number of uses, to the task that counts and scores it, and get one row back per task.
+    `learn` marks the training rows; no other column but doc_id and text is read. Null and empty
+    texts are the end token alone; repeated rows give repeated results; with no training row all
+    tokens are unknown and all bytes equally likely; an empty table gives an empty result. A text
+    of any length is one document of its block.
     """
     shelf = Shelf(docs.sparkSession)
-    kind = F.coalesce(F.col(group).cast("string"), F.lit("")) if group else F.lit("")
-    trained = docs.filter(learn).groupBy(kind.alias("k")).agg(F.count("*").alias("n"))
-    common = trained.orderBy(F.desc("n"), "k").limit(most_groups).collect()
-    every = trained.agg(F.sum("n")).first()[0] or 0
-    names, ends = [r["k"] for r in common], [r["n"] for r in common]
-    if every > sum(ends) or not names:
-        names.append(None)
-        ends.append(every - sum(ends))
-    groups = len(names)
-    place = F.lit(groups - 1 if names[-1] is None else -1)
-    for i, name in enumerate(names):
-        if name is not None:
-            place = F.when(kind == F.lit(name), F.lit(i)).otherwise(place)
-    rows = docs.select("doc_id", "text", F.when(learn, place).otherwise(F.lit(-1)).cast("int").alias("g"))
-    made = shelf.put(rows.mapInArrow(_count(groups), _COUNTED))
-    words, texts = made.filter("word is not null").select("block", "at", "word", "n"), made.filter("word is null").select("block", "doc_id", "n_tokens", "own", "times")
-
-    sums = words.groupBy("word").agg(*[F.sum(F.col("n")[i]).alias(f"n{i}") for i in range(groups)])
-    found = sums.mapInArrow(_gather(groups, order), "g int, key long, n double").groupBy("g", "key").agg(F.sum("n").alias("n"))
-    found = shelf.put(found)
-    totals = {(r["g"], r["key"]): r["n"] for r in found.filter("key < 0").collect()}
-    least = _least_count(found)
-    thrifty()  # the driver holds the windows once, as arrays
-    table = found.filter((F.col("key") >= 0) & (F.col("n") >= least)).select("g", "key", "n").toArrow()
-    of, keys, counts = (table[c].to_numpy() for c in ("g", "key", "n"))
-    base = {"tokens": sum(totals.get((i, -1), 0) for i in range(groups)) + sum(ends), "kinds": totals.get((-1, -2), 0) + (sum(ends) > 0)}
-    size = [totals.get((i, -1), 0) + ends[i] for i in range(groups)]
-    kinds = [totals.get((i, -2), 0) + (ends[i] > 0) for i in range(groups)]
-    tries = []
-    for i in range(groups):
-        own = of == i
-        key, n = keys[own].astype(np.uint64), counts[own].astype(float)
-        if ends[i]:
-            key, n = np.append(key, np.uint64((32 << 8) | END[0])), np.append(n, 1.0)
-        tries.append((key, n))
-    del table, of, keys, counts
-    model = docs.sparkSession.sparkContext.broadcast((order, tries, size, kinds, ends))
-    del tries
-    thrifty()
+    rows = docs.select("doc_id", "text", F.coalesce(learn, F.lit(False)).alias("learn"))
+    chars = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = -(-chars // TASK_CHARS) or 1
+    made = shelf.put(rows.mapInArrow(_blocks(parts), _MADE))
 
-    n_words = words.count()
-    tasks = max(1, -(-n_words // TASK_WORDS))
-    scored = words.repartition(tasks, "word").mapInArrow(_price(model, groups), "block long, at binary, c binary, logs binary")
-    shares = np.array(ends, float) / max(1, sum(ends)) if sum(ends) else np.full(groups, 1 / groups)
-    return texts.groupBy("block").cogroup(scored.groupBy("block")).applyInArrow(_sum_up(base, ends, model, groups, shares), _SCORED)
+    known = shelf.put(made.filter("kind = 1").select("block", "part", "a", "b").groupBy("part").applyInArrow(_count_words, "block long, part long, kinds long, b binary"))
+    low = made.filter("kind = 3").select("a", "b").mapInArrow(_rows_of_low, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    low = low["key"].to_numpy().astype(np.uint64), low["n"].to_numpy().astype(float)
+    ends = int(low[1][low[0] & mask(1) == END[0]].sum())
+    tokens = ends + int(low[1][low[0] & mask(1) == 32].sum())
+    base = {"tokens": tokens, "kinds": (known.agg(F.sum("kinds")).first()[0] or 0) + (ends > 0), "ends": ends}
+    model = docs.sparkSession.sparkContext.broadcast(low)
 
+    windows = made.filter("kind = 2").select("block", "part", "a", "b")
+    sums = windows.groupBy("part").applyInArrow(_add(parts), "part long, at long, a binary, b binary")
+    priced = sums.groupBy("at").applyInArrow(_price(model), "part long, a binary, b binary")
+    answers = windows.groupBy("part").cogroup(priced.groupBy("part")).applyInArrow(_answer, "block long, part long, b binary")
+    none = F.lit(None).cast("binary")
+    texts = made.filter("kind = 0").select("block", "kind", "part", "a", "b", "c")
+    words = made.filter("kind = 1").select("block", "kind", "part", "a", none.alias("b"), "c")
+    uses = known.filter("block is not null").select("block", F.lit(2).cast("byte").alias("kind"), "part", none.alias("a"), "b", none.alias("c"))
+    logs = answers.select("block", F.lit(3).cast("byte").alias("kind"), "part", none.alias("a"), "b", none.alias("c"))
+    rows = texts.unionByName(words).unionByName(uses).unionByName(logs)
+    return rows.groupBy("block").applyInArrow(_sum_up(base, parts), _SCORED)
 
-_COUNTED = "block long, doc_id long, n_tokens long, own binary, times binary, at int, word binary, n array<long>"
-_SCORED = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True))
+    kinds = [pa.int8(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["kind", "block", "part", "a", "b", "c"])
+
+
+def _begins(key: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins."""
+    return np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+
+
+def distinct(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys of some runs, with their summed counts; sorted runs are merged."""
+    key = np.concatenate([*keys, np.zeros(0, np.uint64)])
+    n = np.concatenate([*counts, np.zeros(0, np.int64)]).astype(np.int64)
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    begin = _begins(key)
+    return key[begin], np.add.reduceat(n, begin) if len(n) else n
+
+
+class Places:
+    """Places of sorted distinct keys, for many at a time: those asked for are sorted too, so that none jumps about."""
+
+    def __init__(self, key: np.ndarray) -> None:
+        self.key, mixed = key, key * _MIX
+        self.order = np.argsort(mixed)
+        self.mixed = mixed[self.order] >> np.uint64(20)
+
+    def find(self, asked: np.ndarray) -> np.ndarray:
+        out = np.empty(len(asked), np.int64)
+        for first in range(0, len(asked), 1 << 20):  # a number's place and 44 bits of its key make one word
+            part = asked[first : first + (1 << 20)]
+            word = (part * _MIX & ~np.uint64((1 << 20) - 1)) | np.arange(len(part), dtype=np.uint64)
+            word.sort()
+            own = out[first : first + len(part)]
+            own[(word & np.uint64((1 << 20) - 1)).astype(np.int64)] = self.order[np.searchsorted(self.mixed, word >> np.uint64(20))]
+            off = np.flatnonzero(self.key[own] != part)  # another key with the same bits
+            own[off] = np.searchsorted(self.key, part[off])
+        return out
 
-def _count(groups: int):
-    """Per block: a row per document with its distinct words, a row per distinct word with its uses."""
-
-    def block_rows(block, local, ids, ats, labels):
-        own, times, n = [], [], []
-        for at in ats:
-            u, c = np.unique(at, return_counts=True)
-            own.append(squeeze(u, "<i4", True))
-            times.append(squeeze(c, "<i4"))
-            n.append(len(at) + 1)
-        names = ["block", "doc_id", "n_tokens", "own", "times", "at", "word", "n"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
-        none = [None] * len(ids)
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([block] * len(ids), ids, n, own, times, none, none, none), kinds, strict=True)], names)
-        if not local:
-            return
-        table = np.zeros((len(local), groups), np.int64)
-        for g in range(groups):
-            some = [at for at, label in zip(ats, labels, strict=True) if label == g]
-            if some:
-                table[:, g] = np.bincount(np.concatenate(some), minlength=len(local))
-        words = list(local)
-        for k in range(0, len(words), 50_000):
-            part = words[k : k + 50_000]
-            none = pa.nulls(len(part))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * groups, pa.int32()), pa.array(table[k : k + 50_000].ravel()))
-            columns = [pa.array([block] * len(part), pa.int64()), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.binary()), pa.array(np.arange(k, k + len(part)), pa.int32()), pa.array(part, pa.binary()), lists]
-            yield pa.RecordBatch.from_arrays(columns, names)
+
+
+def _parted(key: np.ndarray, parts: int) -> np.ndarray:
+    return ((key * _MIX >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+
+
+def _context_part(key: np.ndarray, parts: int) -> np.ndarray:
+    """The task of a window by the LOW + 1 bytes before its symbol."""
+    return _parted(key >> np.uint64(8) & mask(LOW + 1), parts)
+
+
+def _runs(part: np.ndarray):
+    """Part and its places, in order."""
+    order = np.argsort(part, kind="stable")
+    values, begin = np.unique(part[order], return_index=True)
+    yield from zip(values.tolist(), np.split(order, begin[1:]) if len(values) else [], strict=True)
+
+
+def _blocks(parts: int):
+    """Rows of blocks of documents.
+
+    Kind 0: ids, lengths and words' numbers of the documents; 1: distinct words of a part, their
+    uses in training and numbers; 2: distinct windows of a part and their uses in training; 3: short
+    windows and their uses, once a task.
+    """
+    import zstandard
+
+    def rows_of(block: int, number: dict, ids: list, runs: list[np.ndarray], learn: list[bool], low: list):
+        words, lengths = list(number), np.fromiter(map(len, runs), np.int64, len(runs))
+        seq, learn = np.concatenate(runs), np.array(learn, bool)
+        yield 0, block, 0, np.array(ids, np.int64).tobytes(), squeeze(lengths, "<i8"), squeeze(seq, "<i4")
+        if words:
+            uses = np.bincount(seq[np.repeat(learn, lengths)], minlength=len(words))
+            hashes = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+            for part, own in _runs(_parted(hashes, parts)):
+                text = b"\n".join([words[k] for k in own.tolist()])
+                yield 1, block, part, zstandard.compress(text, 1), squeeze(uses[own], "<i8"), squeeze(own, "<i4", True)
+        stream = Stream(words, seq, lengths)
+        del seq, runs
+        key, n = stream.distinct(learn)
+        own = n > 0
+        low.append(distinct([key[own] & mask(LOW + 1)], [n[own]]))
+        for part, at in _runs(_parted(key, parts)):
+            yield 2, block, part, squeeze(key[at], "<u8"), squeeze(n[at], "<i8"), None
 
     def run(batches):
         keep_one("counts", dict)
-        block = TaskContext.get().partitionId() << 24
+        block, low = TaskContext.get().partitionId() << 24, []
 
         def fresh():
-            numbers: defaultdict = defaultdict()
-            numbers.default_factory = numbers.__len__
-            return numbers, [], [], [], 0
+            number: defaultdict = defaultdict()
+            number.default_factory = number.__len__
+            return number, [], [], [], 0
 
-        local, ids, ats, labels, held = fresh()
+        number, ids, runs, learn, held = fresh()
         for batch in batches:
-            for doc_id, text, g in zip(batch.column(0).to_pylist(), texts_of(batch), batch.column(2).to_pylist(), strict=True):
+            for doc_id, text, y in zip(batch.column(0).to_pylist(), texts_of(batch), batch.column(2).to_pylist(), strict=True):
                 words = tokens_of(text)
-                ats.append(np.fromiter(map(local.__getitem__, words), np.int32, len(words)))
+                runs.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
                 ids.append(doc_id)
-                labels.append(g)
+                learn.append(y)
                 held += len(text)
                 if held >= BLOCK_CHARS or len(ids) >= 50_000:
-                    yield from block_rows(block, local, ids, ats, labels)
+                    for row in rows_of(block, number, _ids(ids), runs, learn, low):
+                        yield _batch([row])
+                    low[:] = [distinct([k for k, _ in low], [n for _, n in low])]
                     block += 1
-                    local, ids, ats, labels, held = fresh()
+                    number, ids, runs, learn, held = fresh()
         if ids:
-            yield from block_rows(block, local, ids, ats, labels)
+            for row in rows_of(block, number, _ids(ids), runs, learn, low):
+                yield _batch([row])
+        if low:
+            key, n = distinct([k for k, _ in low], [n for _, n in low])
+            yield _batch([(3, None, None, squeeze(key, "<u8", True), squeeze(n, "<i8"), None)])
 
     return run
 
 
-def _gather(groups: int, order: int):
-    """Windows of the distinct training words by class; keys -1 and -2: tokens and kinds, of all at class -1."""
+#: What stands for a doc_id that is null while it travels as a number.
+_NO_ID = -(2**63)
 
-    def run(batches):
-        keep_one("counts", dict)
-        keys: list[list] = [[] for _ in range(groups)]
-        tokens, kinds, known = np.zeros(groups), np.zeros(groups), 0
-
-        def merge():
-            for g in range(groups):
-                if keys[g]:
-                    key = np.concatenate([k for k, _ in keys[g]])
-                    n = np.concatenate([c for _, c in keys[g]])
-                    u, inverse = np.unique(key, return_inverse=True)
-                    keys[g] = [(u, np.bincount(inverse, n))]
-
-        for b, batch in enumerate(batches):
-            n = np.column_stack([batch.column(i + 1).to_numpy(zero_copy_only=False) for i in range(groups)])
-            words = batch.column(0).to_pylist()
-            tokens += n.sum(0)
-            kinds += (n > 0).sum(0)
-            known += int((n.sum(1) > 0).sum())
-            key, word = windows(words, order)
-            for g in range(groups):
-                u, c = np.unique(key[n[word, g] > 0], return_counts=True)
-                keys[g].append((u, c.astype(float)))
-            if b % 8 == 7:
-                merge()
-        merge()
-        for g in range(groups):
-            key, n = keys[g][0] if keys[g] else (np.zeros(0, np.uint64), np.zeros(0))
-            key = np.concatenate((key.astype(np.int64), [-1, -2]))
-            n = np.concatenate((n, [tokens[g], kinds[g]]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), g), pa.int32()), pa.array(key), pa.array(n)], ["g", "key", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([-2], pa.int64()), pa.array([float(known)])], ["g", "key", "n"])
 
-    return run
+def _ids(ids: list) -> list[int]:
+    return [_NO_ID if k is None else k for k in ids]
 
 
-def _least_count(found: DataFrame) -> int:
-    """The smallest count such that at most MOST_WINDOWS windows have it; the tries' size bound."""
-    rows = found.filter("key >= 0").groupBy(F.floor(F.log2("n")).alias("b")).agg(F.count("*").alias("n")).orderBy(F.desc("b")).collect()
-    held, least = 0, 1
-    for r in rows:
-        held += r["n"]
-        if held > MOST_WINDOWS:
-            return int(2 ** (r["b"] + 1))
-        least = int(2 ** r["b"])
-    return min(least, 1)
+def _rows_of_low(batches):
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(loosen(a, "<u8", True).astype(np.int64)), pa.array(loosen(b, "<i8"))], ["key", "n"])
 
 
-def _price(model, groups: int):
-    """All rows of a word lie in one task: sum its counts, score it once, answer each block in one row."""
+def _words_in(data: bytes) -> list[bytes]:
+    import zstandard
 
-    def run(batches):
-        block, at, word, n = [], [], [], []
-        number: defaultdict = defaultdict()
-        number.default_factory = number.__len__
-        for batch in batches:
-            block.append(batch.column(0).to_numpy())
-            at.append(batch.column(1).to_numpy())
-            word.append(np.fromiter(map(number.__getitem__, batch.column(2).to_pylist()), np.int64, batch.num_rows))
-            n.append(batch.column(3).flatten().to_numpy().reshape(-1, groups))
-        if not block:
-            return
-        block, at, word, n = map(np.concatenate, (block, at, word, n))
-        total = np.column_stack([np.bincount(word, n[:, g], len(number)) for g in range(groups)])
-        logs = log_words(list(number), total, model.value)
-        c = total.sum(1).astype("<i8")
-        order = np.lexsort((at, block))
-        blocks, begin = np.unique(block[order], return_index=True)
-        parts = np.split(order, begin[1:])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(blocks), pa.array([squeeze(at[p], "<i4", True) for p in parts], pa.binary()), pa.array([squeeze(c[word[p]], "<i8") for p in parts], pa.binary()), pa.array([squeeze(logs[word[p]], "<f4") for p in parts], pa.binary())],
-            ["block", "at", "c", "logs"],
-        )
+    return zstandard.decompress(data).split(b"\n")
+
+
+def _count_words(table: pa.Table) -> pa.Table:
+    """The uses of the words of a part in all blocks, back to each; a row without block has the number of those with any."""
+    total: defaultdict = defaultdict(int)
+    rows = list(zip(table["block"].to_pylist(), table["a"].to_pylist(), table["b"].to_pylist(), strict=True))
+    for _, a, b in rows:
+        for w, n in zip(_words_in(a), loosen(b, "<i8").tolist(), strict=True):
+            total[w] += n
+    uses = [squeeze(np.array([total[w] for w in _words_in(a)], np.int64), "<i8") for _, a, _ in rows]
+    parts = pa.array([table["part"][0].as_py()] * (len(rows) + 1), pa.int64())
+    kinds = pa.array([sum(n > 0 for n in total.values())] + [None] * len(rows), pa.int64())
+    return pa.table([pa.array([None] + [r[0] for r in rows], pa.int64()), parts, kinds, pa.array([None, *uses], pa.binary())], names=["block", "part", "kinds", "b"])
+
+
+def _add(parts: int):
+    """Uses in training of the distinct windows of a part, sent on by their contexts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        thrifty()
+        key, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        keys, counts, held = [key], [n], 0
+        for a, b in zip(table["a"].to_pylist(), table["b"].to_pylist(), strict=True):
+            keys.append(loosen(a, "<u8"))
+            counts.append(loosen(b, "<i8"))
+            held += len(keys[-1])
+            if held > max(1 << 22, len(keys[0])):
+                key, n = distinct(keys, counts)
+                keys, counts, held = [key], [n], 0
+        key, n = distinct(keys, counts)
+        rows = [(at, squeeze(key[own], "<u8"), squeeze(n[own], "<i8")) for at, own in _runs(_context_part(key, parts))]
+        at, a, b = zip(*rows, strict=True)
+        return pa.table([pa.array([table["part"][0].as_py()] * len(rows), pa.int64()), pa.array(at, pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["part", "at", "a", "b"])
 
     return run
 
 
-def log_words(words: list[bytes], total: np.ndarray, model) -> np.ndarray:
-    """Log10 probability of each word under each class."""
-    order, tries, size, kinds, _ = model
-    made = keep_one(("tries", id(model)), lambda: (model, [Trie(k, n, order) for k, n in tries]))[1]
-    out = np.zeros(total.shape)
-    for first in range(0, len(words), CHUNK):
-        part = slice(first, first + CHUNK)
-        key_, word = windows(words[part], order)
-        u, inverse = np.unique(key_, return_inverse=True)
-        for g, trie in enumerate(made):
-            n = min(CHUNK, len(words) - first)
-            spelled = np.bincount(word, trie.log10(u)[inverse], n)
-            escape = max(1, kinds[g])
-            out[part, g] = np.log10(total[part, g] + escape * np.power(10.0, np.maximum(spelled, -290))) - np.log10(size[g] + escape)
-            far = (total[part, g] == 0) & (spelled <= -290)  # too long a word for a double
-            out[part, g][far] = spelled[far] + np.log10(escape) - np.log10(size[g] + escape)
-    return out
-
-
-def mixed(logs: np.ndarray, times: np.ndarray, prior: np.ndarray) -> float:
-    """Log10 probability of a document, whatever its words' order, under the mixture.
-
-    `logs` has the log10 probability of each distinct token (rows) under each class, `times` how
-    often it occurs, `prior` the log10 shares of the classes. A token met k times before in n has
-    (strength * p + k) / (strength + n); the product over the document is free of the order.
-    """
-    static = prior + times @ logs
-    by = [static + np.log10(1 - sum(STRENGTHS.values()))]
-    n = int(times.sum())
-    again = np.flatnonzero(times > 1)
-    extra = times[again].astype(np.int64) - 1
-    k = (np.arange(extra.sum()) - np.repeat(np.cumsum(extra) - extra, extra) + 1)[:, None]
-    apart = np.repeat(logs[again], extra, 0)
+def _price(model):
+    """All windows after some contexts: the trie of those seen in training prices each, and answers its part."""
+
+    def run(table: pa.Table) -> pa.Table:
+        thrifty()
+        keys = [loosen(a, "<u8") for a in table["a"].to_pylist()]
+        counts = [loosen(b, "<i8") for b in table["b"].to_pylist()]
+        key, n = np.concatenate(keys), np.concatenate(counts)
+        trie = Trie(model.value, key[n > 0], n[n > 0])
+        logs = [np.concatenate([trie.log10(k[i : i + CHUNK]) for i in range(0, len(k), CHUNK)]) for k in keys]
+        return pa.table([table["part"], table["a"], pa.array([squeeze_logs(x) for x in logs], pa.binary())], names=["part", "a", "b"])
+
+    return run
+
+
+def _answer(windows: pa.Table, priced: pa.Table) -> pa.Table:
+    """The prices of each block's windows of a part."""
+    thrifty()
+    key = np.concatenate([loosen(a, "<u8") for a in priced["a"].to_pylist()])
+    order = np.argsort(key)
+    key, logs = key[order], np.concatenate([loosen_logs(b) for b in priced["b"].to_pylist()])[order]
+    out = [squeeze_logs(logs[np.searchsorted(key, loosen(a, "<u8"))]) for a in windows["a"].to_pylist()]
+    return pa.table([windows["block"], windows["part"], pa.array(out, pa.binary())], names=["block", "part", "b"])
+
+
+def _by(doc: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The order by document, word and place."""
+    bits = max(1, int(len(doc)).bit_length())
+    room = max(1, int(word.max(initial=0)).bit_length())
+    doc = doc - doc.min(initial=0)
+    if int(doc.max(initial=0)).bit_length() + room + bits > 63:
+        return np.lexsort((word, doc))
+    packed = ((doc << room | word) << bits) | np.arange(len(doc))
+    packed.sort()
+    return packed & ((1 << bits) - 1)
+
+
+def repeats(doc: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often each token of a document occurred in it before, and the number of tokens before it."""
+    order = _by(doc, word)
+    d, w = doc[order], word[order]
+    place = np.arange(len(doc))
+    new = np.append(True, (d[1:] != d[:-1]) | (w[1:] != w[:-1]))[: len(doc)]
+    again = np.empty(len(doc), np.int64)
+    again[order] = place - np.maximum.accumulate(np.where(new, place, 0))
+    begin = np.append(True, doc[1:] != doc[:-1])[: len(doc)]
+    return again, place - np.maximum.accumulate(np.where(begin, place, 0))
+
+
+def adapted(logs: np.ndarray, again: np.ndarray, before: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Log10 probabilities of documents, which begin at `begin`, under the mixture of adaptations."""
+    by = [np.add.reduceat(logs, begin) + np.log10(1 - sum(STRENGTHS.values()))]
+    old = np.flatnonzero(again)
     for strength, share in STRENGTHS.items():
-        # log10(1 + k / (strength p)), which stays finite for the smallest p
-        far = np.log10(k) - np.log10(strength) - apart if len(k) else apart
-        gain = np.where(far > 15, far, np.log10(1 + np.power(10.0, np.minimum(far, 15)))).sum(0)
-        by.append(static + gain - np.log10(1 + np.arange(1, n) / strength).sum() + np.log10(share))
-    by = np.concatenate(by)
-    top = by.max()
-    return float(top + np.log10(np.power(10.0, by - top).sum()))
+        own = logs + np.log10(strength)
+        own[old] = np.log10(np.power(10.0, own[old]) + again[old])
+        by.append(np.add.reduceat(own - np.log10(strength + before), begin) + np.log10(share))
+    by = np.stack(by)
+    top = by.max(0)
+    return top + np.log10(np.power(10.0, by - top).sum(0))
 
 
-def _sum_up(base: dict, ends: list[int], model, groups: int, shares: np.ndarray):
+def _sum_up(base: dict, parts: int):
     room = base["tokens"] + 0.5 * (base["kinds"] + 1)
 
-    def run(texts: pa.Table, scored: pa.Table) -> pa.Table:
-        at = np.concatenate([loosen(x, "<i4", True) for x in scored["at"].to_pylist()] or [np.zeros(0, np.int32)])
-        c = np.concatenate([loosen(x, "<i8") for x in scored["c"].to_pylist()] or [np.zeros(0, np.int64)])
-        logs = np.concatenate([loosen(x, "<f4") for x in scored["logs"].to_pylist()] or [np.zeros(0, np.float32)]).reshape(-1, groups)
-        place = np.zeros(len(at), np.int64)
-        place[at] = np.arange(len(at))
-        c, logs = c[place], logs[place].astype(float)
-        plain = np.log10((c + 0.5) / room)
-        end = log_words([END], np.array([ends], float), model.value)[0]
-        end_base = np.log10((sum(ends) + 0.5) / room)
-        prior = np.where(shares > 0, np.log10(np.maximum(shares, 1e-300)), -np.inf)
+    def read(table: pa.Table):
+        """ids, lengths, words, uses of the words in training, windows and their log10 probabilities."""
+        kind = table["kind"].to_numpy()
+        by = {k: table.filter(pa.array(kind == k)).sort_by("part") for k in range(4)}
+        ids, lengths, seq = (by[0][c][0].as_py() for c in "abc")
+        ids, lengths, seq = np.frombuffer(ids, np.int64), loosen(lengths, "<i8"), loosen(seq, "<i4")
+        number = [loosen(c, "<i4", True) for c in by[1]["c"].to_pylist()]
+        words: list[bytes] = [b""] * sum(map(len, number))
+        uses = np.zeros(len(words) + 2)
+        for a, b, own in zip(by[1]["a"].to_pylist(), by[2]["b"].to_pylist(), number, strict=True):
+            uses[own] = loosen(b, "<i8")
+            for w, k in zip(_words_in(a), own.tolist(), strict=True):
+                words[k] = w
+        uses[-1] = base["ends"]
+        stream = Stream(words, seq, lengths)
+        key, _ = stream.distinct(np.zeros(len(lengths), bool))
+        order = np.argsort(_parted(key, parts), kind="stable")
+        logs = np.empty(len(key))
+        logs[order] = np.concatenate([loosen_logs(b) for b in by[3]["b"].to_pylist()])
+        return ids, lengths, stream, uses, Places(key), logs
+
+    def run(table: pa.Table) -> pa.Table:
+        thrifty()
+        ids, lengths, stream, uses, places, logs = read(table)
+        plain = np.log10((uses + 0.5) / room)
         known, flat, scores = [], [], []
-        for own, times in zip(texts["own"].to_pylist(), texts["times"].to_pylist(), strict=True):
-            own, times = loosen(own, "<i4", True), loosen(times, "<i4").astype(float)
-            known.append(int(times[c[own] > 0].sum()) + (sum(ends) > 0))
-            flat.append(float(times @ plain[own] + end_base))
-            scores.append(mixed(np.vstack((logs[own], end)), np.append(times, 1.0), prior))
-        n = texts.num_rows
-        return pa.table([texts["doc_id"], texts["n_tokens"], pa.array(known, pa.int64()), pa.array([int(base["tokens"])] * n, pa.int64()), pa.array(flat, pa.float64()), pa.array(scores, pa.float64())], names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        for first, stop, token, key, begin in stream.chunks():
+            size = lengths[first:stop] + 1
+            docs = np.cumsum(size) - size
+            spelled = np.add.reduceat(logs[places.find(key)], begin)
+            again, before = repeats(np.repeat(np.arange(first, stop), size), token)
+            known.append(np.add.reduceat((uses[token] > 0).astype(np.int64), docs))
+            flat.append(np.add.reduceat(plain[token], docs))
+            scores.append(adapted(spelled, again, before, docs))
+        n = len(ids)
+        doc_ids = pa.array(ids, mask=ids == _NO_ID)
+        return pa.table([doc_ids, pa.array(lengths + 1), pa.array(np.concatenate(known)), pa.array([base["tokens"]] * n, pa.int64()), pa.array(np.concatenate(flat)), pa.array(np.concatenate(scores))], names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run

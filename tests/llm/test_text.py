@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from defectlake.llm import bpe, content, langid, packing, ppm, simhash, toxicity
+from defectlake.llm import bpe, content, langid, packing, simhash, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, extra string"
 ODD = [None, "", " ", "\n\n", "a", "aaaa aaaa", "İstanbul Σίσυφος", "x y　z", "tab\tand\x1cunit", "日本語テキスト", "🙂👍🏽 ok", "<|endoftext|> a", "it's they'll I'd", "end \n start", "zero​width", "a" * 3000, "ab" * 2000 + " c" * 500, "é é ́"]
@@ -347,102 +347,6 @@ def test_language_on_tables(spark, odd, none):
     assert langid.keep_identified(odd, path, model).columns == odd.columns
 
 
-def brute_trie(words, order):
-    nodes = {}
-    for w in words:
-        s = b" \n" if w == ppm.END else b" " + w + b" "
-        for i in range(1, len(s)):
-            for k in range(min(i, order) + 1):
-                d = nodes.setdefault(s[i - k : i], Counter())
-                d[s[i]] += 1
-    return nodes
-
-
-def brute_ppm(nodes, context, symbol):
-    logs, seen = 0.0, set()
-    while True:
-        d = nodes.get(context)
-        if d:
-            live = {s: c for s, c in d.items() if s not in seen}
-            n, q = sum(live.values()), len(live)
-            if symbol in live:
-                return logs + math.log10(live[symbol] / (n + q))
-            if q:
-                logs += math.log10(q / (n + q))
-            seen |= set(d)
-        if not context:
-            return logs - math.log10(max(1, 256 - len(seen)))
-        context = context[1:]
-
-
-@settings(max_examples=40, deadline=None)
-@given(st.lists(st.binary(min_size=1, max_size=7).map(lambda b: re.sub(rb"[\x20\x09-\x0D]", b"a", b)), min_size=1, max_size=12), st.integers(1, 5))
-def test_trie_equals_the_definition(words, order):
-    key, _ = ppm.windows(words[::2] + [ppm.END], order)
-    u, n = np.unique(key, return_counts=True)
-    trie, nodes = ppm.Trie(u, n.astype(float), order), brute_trie(words[::2] + [ppm.END], order)
-    key, word = ppm.windows(words, order)
-    got = np.bincount(word, trie.log10(key), len(words))
-    for w, g in zip(words, got, strict=True):
-        s = b" " + w + b" "
-        assert g == pytest.approx(sum(brute_ppm(nodes, s[max(0, i - order) : i], s[i]) for i in range(1, len(s))))
-
-
-def test_ppm_scores_and_counts(spark, odd, none):
-    from pyspark.sql import functions as F
-
-    texts = {i: t or "" for i, t in enumerate(ODD) if i != 3}
-    learn = {i for i in texts if zlib.crc32(str(i).encode()) % 5 != 1}
-    counts = Counter(w for i in learn for w in [*ppm.tokens_of(texts[i]), ppm.END])
-    n, v = sum(counts.values()), len(counts)
-    mark = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 1
-    rows = {r["doc_id"]: r for r in ppm.score(odd.filter("doc_id <> 3"), mark).collect()}
-    assert set(rows) == set(texts)
-    for i, t in texts.items():
-        tokens, r = [*ppm.tokens_of(t), ppm.END], rows[i]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(tokens), sum(counts[w] > 0 for w in tokens), n)
-        assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens))
-        assert math.isfinite(r["score"]) and r["score"] < 0
-    assert ppm.score(odd, mark).count() == len(ODD) + 2
-    assert ppm.score(none, mark).count() == 0
-    assert all(r["n_known"] == 0 and math.isfinite(r["score"]) for r in ppm.score(odd, F.lit(False)).collect())
-
-
-def test_ppm_mixture_is_free_of_order():
-    rng = np.random.default_rng(2)
-    logs, times = np.log10(rng.dirichlet(np.ones(5), 3).T), np.array([3.0, 1.0, 4.0, 1.0, 2.0])
-    prior = np.log10([0.5, 0.3, 0.2])
-    text = np.repeat(np.arange(5), times.astype(int))
-    rng.shuffle(text)
-    total = 0.0
-    for g in range(3):
-        for strength, share in {math.inf: 0.8, **ppm.STRENGTHS}.items():
-            p, seen = 10 ** prior[g] * share, Counter()
-            for n, w in enumerate(text):
-                own = 10 ** logs[w, g]
-                p *= own if strength == math.inf else (strength * own + seen[w]) / (strength + n)
-                seen[w] += 1
-            total += p
-    assert ppm.mixed(logs, times, prior) == pytest.approx(math.log10(total))
-    assert math.isfinite(ppm.mixed(np.array([[-400.0]]), np.array([50.0]), np.array([0.0])))
-
-
-def test_ppm_probabilities_sum_to_at_most_one():
-    words = [b"ab", b"abc", b"b", ppm.END]
-    key, _ = ppm.windows(words, 3)
-    u, n = np.unique(key, return_counts=True)
-    trie = ppm.Trie(u, n.astype(float), 3)
-    nexts = [np.uint64(int.from_bytes(b" ab" + bytes([s]), "big")) for s in range(256)]
-    assert (10 ** trie.log10(np.array(nexts, np.uint64))).sum() == pytest.approx(1)
-
-
-PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><h1>Site name</h1><ul class=menu><li>a<li>b</ul></header>
-<div id="cookie-notice">We use cookies, please agree</div><main><article><header><h1>Title &amp; x</h1></header><p>One two<br>three <b>bold</b>ly
-<p>Second par &eacute;<div class="ad-box">Buy now</div><ul><li>item one<li>item two</ul><blockquote>quo</blockquote>
-<form><input value=3>Sub<button>x</button></form><script>var t="</p>";</script><p>Last one here &copy; 2 &lt;tag&gt;</p>
-<section class="comments"><h2>Comments</h2><p>great article I love it</p></section></article><aside>related things</aside></main><footer>(c)</footer></body></html>"""
-
-
 def test_main_text_of_a_page():
     want = ["Title & x", "One two three boldly", "Second par é", "item one", "item two", "quo", "Last one here © 2 <tag>"]
     assert content.extract(PAGE, content.Weights()) == "\n\n".join(want)
