@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import Shelf, keep_one, texts_of, thrifty
 
 #: Bytes of context, orders at which codes begin, symbols' weight against a longer context's uses.
-ORDER, STARTS, TRUST = 7, (3, 5, 7), 5.0
+ORDER, STARTS, TRUST = 6, (3, 4, 5, 6), 5.0
 #: Orders of the broadcast table, by whose bytes the trie is parted.
 LOW = 2
 #: Characters of a block of documents, of the corpus per task, and symbols handled at once.
@@ -37,7 +37,7 @@ BLOCK_CHARS, TASK_CHARS, CHUNK = 28 << 20, 32 << 20, 1 << 20
 #: Steps of a log10 probability while it travels: a byte's is exact to half a step.
 STEPS = 2048
 #: Strengths of the trained model against the document's own words, with their shares; the rest is the trained model alone.
-STRENGTHS = {5000.0: 0.1, 200.0: 0.1}
+STRENGTHS = {5000.0: 0.2, 1000.0: 0.2, 100.0: 0.1}
 END = b"\n"
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -237,14 +237,14 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
     windows = made.filter("kind = 2").select("block", "part", "a", "b")
     sums = windows.groupBy("part").applyInArrow(_add(parts), "part long, at long, a binary, b binary")
     priced = sums.groupBy("at").applyInArrow(_price(model), "part long, a binary, b binary")
-    answers = windows.groupBy("part").cogroup(priced.groupBy("part")).applyInArrow(_answer, "block long, part long, b binary")
+    answers = windows.groupBy("part").cogroup(priced.groupBy("part")).applyInArrow(_answer, "block long, part long, a binary, b binary")
     none = F.lit(None).cast("binary")
     texts = made.filter("kind = 0").select("block", "kind", "part", "a", "b", "c")
     words = made.filter("kind = 1").select("block", "kind", "part", "a", none.alias("b"), "c")
     uses = known.filter("block is not null").select("block", F.lit(2).cast("byte").alias("kind"), "part", none.alias("a"), "b", none.alias("c"))
-    logs = answers.select("block", F.lit(3).cast("byte").alias("kind"), "part", none.alias("a"), "b", none.alias("c"))
+    logs = answers.select("block", F.lit(3).cast("byte").alias("kind"), "part", "a", "b", none.alias("c"))
     rows = texts.unionByName(words).unionByName(uses).unionByName(logs)
-    return rows.groupBy("block").applyInArrow(_sum_up(base, parts), _SCORED)
+    return rows.groupBy("block").applyInArrow(_sum_up(base), _SCORED)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -269,12 +269,13 @@ def distinct(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
 
 
 class Places:
-    """Places of sorted distinct keys, for many at a time: those asked for are sorted too, so that none jumps about."""
+    """Places of distinct keys, for many at a time: those asked for are sorted too, so that none jumps about."""
 
     def __init__(self, key: np.ndarray) -> None:
         self.key, mixed = key, key * _MIX
         self.order = np.argsort(mixed)
-        self.mixed = mixed[self.order] >> np.uint64(20)
+        self.mixed = mixed[self.order]
+        self.short = self.mixed >> np.uint64(20)
 
     def find(self, asked: np.ndarray) -> np.ndarray:
         out = np.empty(len(asked), np.int64)
@@ -283,9 +284,9 @@ class Places:
             word = (part * _MIX & ~np.uint64((1 << 20) - 1)) | np.arange(len(part), dtype=np.uint64)
             word.sort()
             own = out[first : first + len(part)]
-            own[(word & np.uint64((1 << 20) - 1)).astype(np.int64)] = self.order[np.searchsorted(self.mixed, word >> np.uint64(20))]
+            own[(word & np.uint64((1 << 20) - 1)).astype(np.int64)] = self.order[np.searchsorted(self.short, word >> np.uint64(20))]
             off = np.flatnonzero(self.key[own] != part)  # another key with the same bits
-            own[off] = np.searchsorted(self.key, part[off])
+            own[off] = self.order[np.searchsorted(self.mixed, part[off] * _MIX)]
         return out
 
 
@@ -443,7 +444,7 @@ def _answer(windows: pa.Table, priced: pa.Table) -> pa.Table:
     order = np.argsort(key)
     key, logs = key[order], np.concatenate([loosen_logs(b) for b in priced["b"].to_pylist()])[order]
     out = [squeeze_logs(logs[np.searchsorted(key, loosen(a, "<u8"))]) for a in windows["a"].to_pylist()]
-    return pa.table([windows["block"], windows["part"], pa.array(out, pa.binary())], names=["block", "part", "b"])
+    return pa.table([windows["block"], windows["part"], windows["a"], pa.array(out, pa.binary())], names=["block", "part", "a", "b"])
 
 
 def _by(doc: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -483,7 +484,7 @@ def adapted(logs: np.ndarray, again: np.ndarray, before: np.ndarray, begin: np.n
     return top + np.log10(np.power(10.0, by - top).sum(0))
 
 
-def _sum_up(base: dict, parts: int):
+def _sum_up(base: dict):
     room = base["tokens"] + 0.5 * (base["kinds"] + 1)
 
     def read(table: pa.Table):
@@ -501,10 +502,8 @@ def _sum_up(base: dict, parts: int):
                 words[k] = w
         uses[-1] = base["ends"]
         stream = Stream(words, seq, lengths)
-        key, _ = stream.distinct(np.zeros(len(lengths), bool))
-        order = np.argsort(_parted(key, parts), kind="stable")
-        logs = np.empty(len(key))
-        logs[order] = np.concatenate([loosen_logs(b) for b in by[3]["b"].to_pylist()])
+        key = np.concatenate([loosen(a, "<u8") for a in by[3]["a"].to_pylist()])
+        logs = np.concatenate([loosen_logs(b) for b in by[3]["b"].to_pylist()])
         return ids, lengths, stream, uses, Places(key), logs
 
     def run(table: pa.Table) -> pa.Table:
@@ -515,7 +514,7 @@ def _sum_up(base: dict, parts: int):
         for first, stop, token, key, begin in stream.chunks():
             size = lengths[first:stop] + 1
             docs = np.cumsum(size) - size
-            spelled = np.add.reduceat(logs[places.find(key)], begin)
+            spelled = np.add.reduceat(logs[places.find(key)].astype(float), begin)
             again, before = repeats(np.repeat(np.arange(first, stop), size), token)
             known.append(np.add.reduceat((uses[token] > 0).astype(np.int64), docs))
             flat.append(np.add.reduceat(plain[token], docs))
