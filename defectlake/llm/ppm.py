@@ -33,7 +33,7 @@ ORDER, STARTS, TRUST = 6, (3, 4, 5, 6), 5.0
 #: Orders of the broadcast table, by whose bytes the trie is parted.
 LOW = 2
 #: Characters of a block of documents, of the corpus per task, and symbols handled at once.
-BLOCK_CHARS, TASK_CHARS, CHUNK = 28 << 20, 32 << 20, 1 << 20
+BLOCK_CHARS, TASK_CHARS, CHUNK = 14 << 20, 32 << 20, 1 << 20
 #: Steps of a log10 probability while it travels: a byte's is exact to half a step.
 STEPS = 2048
 #: Strengths of the trained model against the document's own words, with their shares; the rest is the trained model alone.
