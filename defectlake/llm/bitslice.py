@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from .common import Shelf
 
-#: Rows of an index block and queries of a query block: both bound a task's memory.
-BLOCK_ROWS, BLOCK_QUERIES = 32_768, 128
+#: Rows of an index block, queries of a query block, and query blocks that meet an index block in one task: all bound a task's memory.
+BLOCK_ROWS, BLOCK_QUERIES, MEET = 32_768, 128, 64
+#: Components from which a row is kept as whole numbers, in blocks of such rows only, instead of slices.
+WIDE = 1 << 40
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -19,7 +21,7 @@ def quantised(vectors: DataFrame, scale: int = 1024) -> DataFrame:
     double = F.transform("embedding", lambda x: x.cast("double"))
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     rows = vectors.filter(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False)))
-    return rows.select("vec_id", F.transform(double, lambda x: F.floor(x * scale)).alias("v")).withColumn("dims", F.size("v"))
+    return rows.select("vec_id", F.transform(double, lambda x: F.floor(x * scale)).alias("v")).withColumn("dims", F.size("v")).withColumn("wide", F.exists("v", lambda x: (x >= WIDE) | (x <= -WIDE)))
 
 
 def slices_of(values: np.ndarray) -> tuple[np.ndarray, list[int], np.ndarray]:
@@ -129,6 +131,25 @@ def top_rows(total: np.ndarray, allowed: np.ndarray, k: int) -> np.ndarray:
     return chosen
 
 
+def values_of(n: int, low: np.ndarray, bits: list[int], slices: np.ndarray) -> np.ndarray:
+    """The whole numbers that a block was sliced from, as Python numbers."""
+    out, k = np.zeros((n, len(bits)), object), 0
+    for d, b in enumerate(bits):
+        for j in range(b):
+            out[:, d] += np.unpackbits(slices[k].view(np.uint8), bitorder="little")[:n].astype(object) << j
+            k += 1
+        out[:, d] += int(low[d])
+    return out
+
+
+def search_rows(ids: np.ndarray, values: np.ndarray, query_id: int, q: list[int], k: int):
+    """(query, row, score) by exact numbers; a score beyond 64 bits counts as the nearest that has them."""
+    scores = values.astype(object) @ np.array(q, object) if len(q) else np.zeros(len(ids), object)
+    near = [max(-(2**63), min(2**63 - 1, s)) for s in scores.tolist()]
+    for s, r in sorted((-s, r) for r, s in zip(ids.tolist(), near, strict=True) if r != query_id)[:k]:
+        yield query_id, r, -s
+
+
 def search_block(ids: np.ndarray, low: np.ndarray, bits: list[int], slices: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int):
     """(query, row, score) of the k best rows of one block for each query of another."""
     n, words = len(ids), -(-len(ids) // 64)
@@ -137,6 +158,7 @@ def search_block(ids: np.ndarray, low: np.ndarray, bits: list[int], slices: np.n
     full = np.packbits(np.ones(n, np.uint8), bitorder="little")
     allowed[: len(full)] = full
     allowed = allowed.view(np.uint64)
+    values = None
     for query_id, q in zip(query_ids.tolist(), queries.tolist(), strict=True):
         base, most, groups = 0, 0, {}
         for d, x in enumerate(q):
@@ -149,7 +171,9 @@ def search_block(ids: np.ndarray, low: np.ndarray, bits: list[int], slices: np.n
                 if sign < 0:
                     base -= ((1 << bits[d]) - 1) << shift
         if abs(base) + most >= 2**63:
-            raise OverflowError("a score needs more than 64 bits")
+            values = values_of(n, low, bits, slices) if values is None else values
+            yield from search_rows(ids, values, query_id, q, k)
+            continue
         adder = Adder(max(1, most.bit_length()), words)
         for shift, operands in groups.items():
             for d, flip in operands:
@@ -174,17 +198,31 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024)
     arithmetic, and the top rows are selected from the most significant slice down. Every query
     block meets every index block of its dimension once; the blocks' winners are then ranked.
     Ties go to the smaller vec_id; rows with the query's own vec_id are left out; vectors that are
-    null or hold null or non-finite components take no part; other columns are not read.
+    null or hold null or non-finite components take no part; other columns are not read. Scores are
+    computed exactly; one beyond 64 bits, like a component beyond them, counts as the nearest number
+    that has them.
     """
     shelf = Shelf(vectors.sparkSession)
     rows = shelf.put(quantised(vectors, scale))
-    counts = {r["dims"]: (r["n"], r["q"]) for r in rows.groupBy("dims").agg(F.count("*").alias("n"), F.sum(is_query.cast("int")).alias("q")).collect()}
+    counts = {(r["dims"], r["wide"]): (r["n"], r["q"] or 0) for r in rows.groupBy("dims", "wide").agg(F.count("*").alias("n"), F.sum(is_query.cast("int")).alias("q")).collect()}
+    asking: dict[int, int] = {}
+    for (dims, _), (_, q) in counts.items():
+        asking[dims] = asking.get(dims, 0) + q
+
+    def of_dims(numbers: dict, otherwise: int = 1):
+        """A number by dimensions, or by dimensions and whether rows are wide."""
+        out = F.lit(otherwise)
+        for key, n in numbers.items():
+            dims, wide = key if isinstance(key, tuple) else (key, None)
+            out = F.when((F.col("dims") == dims) & (F.lit(True) if wide is None else F.col("wide") == wide), F.lit(n)).otherwise(out)
+        return out
+
+    held = {key: -(-n // BLOCK_ROWS) for key, (n, _) in counts.items()}
+    blocks = {dims: -(-q // BLOCK_QUERIES) for dims, q in asking.items() if q}
+    parts = {dims: -(-n // MEET) for dims, n in blocks.items()}
 
-    def blocks(df, place, each, seed):
-        number = F.lit(1)
-        for dims, pair in counts.items():
-            number = F.when(F.col("dims") == dims, F.lit(max(1, -(-(pair[place] or 0) // each)))).otherwise(number)
-        return df.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(seed)), number))
+    def numbered(df: DataFrame, number: Column, seed: int) -> DataFrame:
+        return df.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(seed)), number).cast("int"))
 
     def matrix(table: pa.Table):
         ids = table["vec_id"].to_numpy()
@@ -194,30 +232,45 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024)
 
     def build(table: pa.Table) -> pa.Table:
         ids, values = matrix(table)
-        low, bits, slices = slices_of(values) if values.shape[1] else (np.zeros(0, np.int64), [], np.zeros((0, 0), np.uint64))
-        return pa.table({"dims": pa.array([values.shape[1]], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "low": pa.array([low.tolist()], pa.list_(pa.int64())), "bits": pa.array([bits], pa.list_(pa.int32())), "slices": pa.array([slices.tobytes()], pa.binary())})
+        wide = table["wide"][0].as_py()
+        low, bits, slices = (np.zeros(0, np.int64), [], np.zeros((0, 0), np.uint64))
+        if wide:
+            slices = values.astype(np.int64)
+        elif values.shape[1]:
+            low, bits, slices = slices_of(values)
+        columns = {"low": pa.array([low.tolist()], pa.list_(pa.int64())), "bits": pa.array([bits], pa.list_(pa.int32()))}
+        return pa.table({"dims": pa.array([values.shape[1]], pa.int32()), "wide": pa.array([wide]), "block": table["block"][:1], "ids": pa.array([ids.tobytes()], pa.binary()), **columns, "slices": pa.array([slices.tobytes()], pa.binary())})
 
     def gather(table: pa.Table) -> pa.Table:
         ids, values = matrix(table)
-        return pa.table({"dims": pa.array([values.shape[1]], pa.int32()), "query_ids": pa.array([ids.tobytes()], pa.binary()), "queries": pa.array([values.astype(np.int64).tobytes()], pa.binary())})
+        return pa.table({"dims": pa.array([values.shape[1]], pa.int32()), "part": pa.array([table["block"][0].as_py() // MEET], pa.int32()), "query_ids": pa.array([ids.tobytes()], pa.binary()), "queries": pa.array([values.astype(np.int64).tobytes()], pa.binary())})
 
-    index = blocks(rows, 0, BLOCK_ROWS, 0).groupBy("dims", "block").applyInArrow(build, "dims int, ids binary, low array<long>, bits array<int>, slices binary")
-    asked = blocks(rows.filter(is_query), 1, BLOCK_QUERIES, 1).groupBy("dims", "block").applyInArrow(gather, "dims int, query_ids binary, queries binary")
+    index = numbered(rows, of_dims(held), 0).groupBy("dims", "wide", "block").applyInArrow(build, "dims int, wide boolean, block int, ids binary, low array<long>, bits array<int>, slices binary")
+    asked = numbered(rows.filter(is_query), of_dims(blocks), 1).groupBy("dims", "block").applyInArrow(gather, "dims int, part int, query_ids binary, queries binary")
     index, asked = shelf.put(index), shelf.put(asked)
 
-    def search(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                ids, dims = np.frombuffer(r["ids"], np.int64), len(r["bits"])
-                slices = np.frombuffer(r["slices"], np.uint64).reshape(-1, -(-len(ids) // 64))
-                query_ids = np.frombuffer(r["query_ids"], np.int64)
-                queries = np.frombuffer(r["queries"], np.int64).reshape(len(query_ids), dims)
-                found = list(search_block(ids, np.array(r["low"], np.int64), r["bits"], slices, query_ids, queries, k))
-                columns = list(zip(*found, strict=True)) or [[], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
-
-    pairs = sum(-(-n // BLOCK_ROWS) * -(-(q or 0) // BLOCK_QUERIES) for n, q in counts.values())
-    met = asked.join(index.hint("shuffle_hash"), "dims").repartition(max(1, min(pairs, 2000)))
-    winners = met.mapInArrow(search, FOUND)
+    def search(key, index: pa.Table, asked: pa.Table) -> pa.Table:
+        found = []
+        for r in index.to_pylist():
+            ids, dims = np.frombuffer(r["ids"], np.int64), key[0].as_py()
+            for a in asked.to_pylist():
+                query_ids = np.frombuffer(a["query_ids"], np.int64)
+                queries = np.frombuffer(a["queries"], np.int64).reshape(len(query_ids), dims)
+                if r["wide"]:
+                    values = np.frombuffer(r["slices"], np.int64).reshape(len(ids), dims)
+                    for query_id, q in zip(query_ids.tolist(), queries.tolist(), strict=True):
+                        found += search_rows(ids, values, query_id, q, k)
+                else:
+                    slices = np.frombuffer(r["slices"], np.uint64).reshape(-1, -(-len(ids) // 64))
+                    found += search_block(ids, np.array(r["low"], np.int64), r["bits"], slices, query_ids, queries, k)
+        columns = list(zip(*found, strict=True)) or [[], [], []]
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+
+    # an index block goes to each part of the queries, a query block to each index block, by their numbers
+    index = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(of_dims(parts, 0) - 1, F.lit(0)))))
+    asked = asked.withColumn("wide", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("blocks", of_dims(held, 0)).filter("blocks > 0")
+    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    keys = ["dims", "wide", "block", "part"]
+    winners = index.filter(of_dims(parts, 0) > 0).groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(search, FOUND)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return winners.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

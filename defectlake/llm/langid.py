@@ -14,8 +14,8 @@ from .merges import NONE, KeyTable
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
-#: Longest piece in characters, longest word of the array form, words per array block, words kept.
-PIECE, WORD, BLOCK, CACHE = 12, 40, 8_000, 250_000
+#: Longest word of the array form, words per array block, words kept.
+WORD, BLOCK, CACHE = 40, 8_000, 250_000
 _BASE = np.uint64(0x100000001B3)
 _FLOOR = 1e-7
 #: Characters after which sums are rescaled: they stay far from underflow at any piece probability that can be learned.
@@ -31,12 +31,12 @@ def _vocabulary(path: str):
 
 
 def _load(path: str):
-    """The processor, its pieces of up to PIECE characters without byte and control pieces."""
+    """The processor and its pieces, those for bytes and control empty."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = [sp.id_to_piece(i) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i)) else "" for i in range(sp.vocab_size())]
-    return sp, [p if len(p) <= PIECE else "" for p in pieces]
+    return sp, pieces
 
 
 class Scorer:
@@ -46,6 +46,7 @@ class Scorer:
         _, pieces = _load(path)
         self.langs = probs.shape[1]
         self.sizes = sorted({len(p) for p in pieces if p})
+        self.longest = max(self.sizes, default=1)
         self.tables: dict[int, KeyTable] = {}
         self.probs: dict[int, np.ndarray] = {}
         for n in self.sizes:
@@ -92,7 +93,7 @@ class Scorer:
         scale, out = np.zeros((n, self.langs)), np.zeros((n, self.langs))
         hashes = {}
         h = np.zeros((n, top), np.uint64)
-        for size in range(1, min(PIECE, top) + 1):  # hash of the `size` characters from each start
+        for size in range(1, min(self.longest, top) + 1):  # hash of the `size` characters from each start
             span = top - size + 1
             h = (h[:, :span] + codes[:, size - 1 :] + np.uint64(1)) * _BASE
             hashes[size] = h
@@ -111,7 +112,7 @@ class Scorer:
             if t % RESCALE == 0 and t < top:
                 now = alpha[t].copy()
                 scale += np.log(now)
-                alpha[max(0, t + 1 - PIECE) : t + 1] /= now
+                alpha[max(0, t + 1 - self.longest) : t + 1] /= now
         return out
 
     def _forward_long(self, word: str) -> np.ndarray:
@@ -119,7 +120,7 @@ class Scorer:
         codes = np.frombuffer(("▁" + word).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         n = len(codes)
         found, h = {}, np.zeros(n, np.uint64)
-        for size in range(1, PIECE + 1):
+        for size in range(1, self.longest + 1):
             span = n - size + 1
             if span < 1:
                 break
@@ -134,7 +135,7 @@ class Scorer:
                     now += recent[-size] * self.probs[size][at[t - size]]
             now = np.where(now == 0, recent[-1] * _FLOOR, now)
             logs += np.log(now)
-            recent = [r / now for r in recent[-(PIECE - 1) :]] + [np.ones(self.langs)]
+            recent = [r / now for r in recent[-max(1, self.longest - 1) :]] + [np.ones(self.langs)]
         return logs
 
 

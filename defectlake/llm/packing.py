@@ -16,8 +16,8 @@ from .common import keep_one, slices, texts_of
 from .merges import MergeReplay
 
 WINDOW = 2048
-#: Words kept per worker; bytes hashed at once; characters and documents of one BM25 shard; neighbours fetched per query.
-CACHE_WORDS, SLICE, SHARD_CHARS, SHARD_DOCS, NEIGHBOURS = 650_000, 1 << 19, 5 << 20, 4096, 8
+#: Words kept per worker; bytes hashed at once; characters and documents of one BM25 shard.
+CACHE_WORDS, SLICE, SHARD_CHARS, SHARD_DOCS = 650_000, 1 << 19, 5 << 20, 4096
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -27,21 +27,21 @@ def _tokens(path: str) -> "WordTokens":
 
 
 class WordIndex:
-    """Numbers of words by a 64-bit hash and a check value, in open-addressed arrays of fixed size."""
+    """Numbers of words by a 64-bit hash, in open-addressed arrays of fixed size; `same` says which answers hold."""
 
     def __init__(self, bits: int) -> None:
         self.bits = bits
         self.keys = np.zeros(1 << bits, np.uint64)
         self.at = np.full(1 << bits, -1, np.int32)
-        self.second = np.zeros(0, np.uint64)
+        self.bytes, self.begin = np.zeros(0, np.uint8), np.zeros(1, np.int64)
 
     def __len__(self) -> int:
-        return len(self.second)
+        return len(self.begin) - 1
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def find(self, keys: np.ndarray, second: np.ndarray) -> np.ndarray:
+    def find(self, keys: np.ndarray) -> np.ndarray:
         """The number of each word, -1 where it is not known."""
         slot = self._slot(keys)
         out = self.at[slot]
@@ -53,16 +53,27 @@ class WordIndex:
             out[open_] = at
             more = (at >= 0) & (self.keys[slot] != keys[open_])
             open_, slot = open_[more], slot[more]
-        known = np.flatnonzero(out >= 0)
-        clash = known[self.second[out[known]] != second[known]]
-        if len(clash):
-            raise RuntimeError("two words with one 64-bit hash; choose other multipliers")
         return out
 
-    def add(self, keys: np.ndarray, second: np.ndarray) -> None:
-        """Numbers new distinct words from the present size on."""
-        number = np.arange(len(self.second), len(self.second) + len(keys), dtype=np.int32)
-        self.second = np.concatenate((self.second, second))
+    def same(self, at: np.ndarray, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether the words data[begin:end] are the known ones of the numbers `at`, by all their bytes."""
+        size = end - begin
+        out = self.begin[at + 1] - self.begin[at] == size
+        held = np.concatenate((self.bytes, np.zeros(8, np.uint8)))
+        for k in range(0, int(size.max(initial=0)), 8):  # eight bytes a step, shorter ends masked
+            who = np.flatnonzero(out & (size > k))
+            if not len(who):
+                break
+            own, other = _eight(held, self.begin[at[who]] + k), _eight(data, begin[who] + k)
+            left = np.minimum(size[who] - k, 8).astype(np.uint64)
+            out[who] = ((own ^ other) << (np.uint64(8) * (np.uint64(8) - left))) == 0
+        return out
+
+    def add(self, keys: np.ndarray, words: list[bytes]) -> None:
+        """Numbers new distinct words, of distinct hashes, from the present size on."""
+        number = np.arange(len(self), len(self) + len(keys), dtype=np.int32)
+        self.bytes = np.concatenate((self.bytes, np.frombuffer(b"".join(words), np.uint8)))
+        self.begin = np.concatenate((self.begin, self.begin[-1] + np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))))
         slot, todo = self._slot(keys), np.arange(len(keys))
         while len(todo):
             free = np.flatnonzero(self.at[slot] < 0)
@@ -73,6 +84,11 @@ class WordIndex:
             todo, slot = todo[stay], (slot[stay] + 1) & ((1 << self.bits) - 1)
 
 
+def _eight(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place, little-endian; there are eight more bytes than places need."""
+    return np.lib.stride_tricks.as_strided(data, (len(data) - 7, 8), (1, 1))[at].view("<u8").ravel()
+
+
 #: A random value per byte, and an odd multiplier with its inverse: a word's hash is the sum of value x multiplier^place.
 _VALUES = np.random.default_rng(11).integers(1, 2**64 - 1, 256, dtype=np.uint64)
 _STEP = 0xD6E8FEB86659FD93
@@ -90,8 +106,8 @@ def _powers_of(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][0][:n], _powers[0][1][:n]
 
 
-def words_in(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Begin, end, hash and check value of the runs between ASCII blanks.
+def words_in(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, end and hash of the runs between ASCII blanks.
 
     ASCII marks that end a run after an ASCII letter or digit are a word of their own: the
     vocabulary's pattern cuts there anyway, and the word before is then more often a known one.
@@ -110,9 +126,7 @@ def words_in(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     up, down = _powers_of(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_VALUES[data] * up[:-1], out=sums[1:])
-    size = end - begin
-    check = (size.astype(np.uint64) << np.uint64(24)) | (data[begin].astype(np.uint64) << np.uint64(16)) | (data[begin + size // 2].astype(np.uint64) << np.uint64(8)) | data[end - 1]
-    return begin, end, (sums[end] - sums[begin]) * down[begin], check
+    return begin, end, (sums[end] - sums[begin]) * down[begin]
 
 
 class WordTokens:
@@ -180,33 +194,37 @@ class WordTokens:
             parts.append(lower.encode("utf-8", "surrogatepass"))
         stops = np.cumsum([len(p) + 1 for p in parts])
         data = np.frombuffer(b" ".join(parts), np.uint8)
-        begins, ends, firsts, seconds = [], [], [], []
+        begins, ends, firsts = [], [], []
         done = 0
         while done < len(data):  # slices that end at a blank keep the arrays of hashes small
             stop = min(len(data), done + SLICE)
             while stop < len(data) and data[stop] != 32:
                 stop += 1
-            b, e, h, g = words_in(data[done:stop])
+            b, e, h = words_in(data[done:stop])
             begins.append(b + done)
             ends.append(e + done)
             firsts.append(h)
-            seconds.append(g)
             done = stop
-        begin, end, first, second = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (begins, ends, firsts, seconds))
-        at = self.index.find(first, second)
+        begin, end, first = (np.concatenate(x) if x else np.zeros(0, np.uint64 if x is firsts else np.int64) for x in (begins, ends, firsts))
+        at = self.index.find(first)
         gap = np.flatnonzero(at < 0)
         if len(gap):
             new, where = np.unique(first[gap], return_index=True)
             where = gap[where]
             gc.disable()  # nothing here is cyclic, and collections over large lists are slow
             try:
-                self.learn([data[a:b].tobytes() for a, b in zip(begin[where].tolist(), end[where].tolist(), strict=True)])
+                learned = [data[a:b].tobytes() for a, b in zip(begin[where].tolist(), end[where].tolist(), strict=True)]
+                self.learn(learned)
             finally:
                 gc.enable()
-            self.index.add(new, second[where])
-            at[gap] = self.index.find(first[gap], second[gap])
+            self.index.add(new, learned)
+            at[gap] = self.index.find(first[gap])
+        padded = np.concatenate((data, np.zeros(8, np.uint8)))
+        clash = np.flatnonzero(~self.index.same(at, padded, begin, end))
+        for k in np.searchsorted(stops, begin[clash], "right").tolist():
+            odd[k] = True  # a word with another's hash: the library does its text
         cut = np.searchsorted(begin, stops[:-1])
-        del data, parts, begins, ends, firsts, seconds, begin, end, first, second
+        del data, padded, parts, begins, ends, firsts, begin, end, first
         terms = np.split(at, cut)
         flat, size = spread(self.flat, self.begin, at)
         sums = np.concatenate(([0], np.cumsum(size)))
@@ -267,8 +285,6 @@ class Bm25:
         score = np.bincount(doc, np.concatenate([self.weight[s] for s in spans]), self.n)
         score[~unused] = 0
         found = np.flatnonzero(score > 0)
-        if len(found) > NEIGHBOURS:
-            found = found[np.argpartition(-score[found], NEIGHBOURS - 1)[:NEIGHBOURS]]
         return found[np.lexsort((found, -score[found]))]
 
 

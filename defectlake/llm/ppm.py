@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shelf, keep_one, texts_of, thrifty
+from .common import Shelf, keep_one, slices, texts_of, thrifty
 
 #: Bytes of context, orders at which codes begin, symbols' weight against a longer context's uses.
 ORDER, STARTS, TRUST = 6, (3, 4, 5, 6), 5.0
@@ -327,7 +327,7 @@ def _blocks(parts: int):
                 text = b"\n".join([words[k] for k in own.tolist()])
                 yield 1, block, part, zstandard.compress(text, 1), squeeze(uses[own], "<i8"), squeeze(own, "<i4", True)
         stream = Stream(words, seq, lengths)
-        del seq, runs
+        del seq
         key, n = stream.distinct(learn)
         own = n > 0
         low.append(distinct([key[own] & mask(LOW + 1)], [n[own]]))
@@ -344,7 +344,7 @@ def _blocks(parts: int):
             return number, [], [], [], 0
 
         number, ids, runs, learn, held = fresh()
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, text, y in zip(batch.column(0).to_pylist(), texts_of(batch), batch.column(2).to_pylist(), strict=True):
                 words = tokens_of(text)
                 runs.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
@@ -357,9 +357,12 @@ def _blocks(parts: int):
                     low[:] = [distinct([k for k, _ in low], [n for _, n in low])]
                     block += 1
                     number, ids, runs, learn, held = fresh()
+                    thrifty()
         if ids:
             for row in rows_of(block, number, _ids(ids), runs, learn, low):
                 yield _batch([row])
+        number, ids, runs, learn, held = fresh()
+        thrifty()
         if low:
             key, n = distinct([k for k, _ in low], [n for _, n in low])
             yield _batch([(3, None, None, squeeze(key, "<u8", True), squeeze(n, "<i8"), None)])

@@ -77,14 +77,23 @@ class Model:
         if not len(self._machine):
             return []
         found: dict[int, float] = {}
-        excused = []
+        excused: list[tuple[int, int]] = []
         for end, (size, w) in self._machine.iter(f" {' '.join(words)} "):
             begin = end - size + 1
             if w is None:
                 excused.append((begin, end))
             elif w > found.get(begin, 0):
                 found[begin] = w
-        return [(b, w) for b, w in sorted(found.items()) if not any(x <= b < y for x, y in excused)]
+        if not excused:
+            return sorted(found.items())
+        reach, out, k = -1, [], 0
+        excused.sort()
+        for b, w in sorted(found.items()):  # one pass: the furthest end of the phrases begun so far
+            while k < len(excused) and excused[k][0] <= b:
+                reach, k = max(reach, excused[k][1]), k + 1
+            if b >= reach:
+                out.append((b, w))
+        return out
 
     def measures(self, text: str) -> tuple[float, float]:
         """Log of the summed weight, and of the weight per hundred words."""
@@ -103,13 +112,14 @@ def entries(word: str, stems: range) -> list[str]:
     return [f" {word} "] + [f" {word[:k]}" for k in stems if k < len(word)]
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, stems: range = range(4, 10), support: int = 3, evidence: float = 30.0, most: int = 4096) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, stems: range = range(4, 10), support: int = 3, evidence: float = 30.0, most: int | None = 4096) -> Model:
     """Learn lexicon, exception phrases and calibration from labelled documents.
 
     The fit uses at most `per_class` documents of each label, those of smallest hashed doc_id; this
     bound makes it independent of the size of the corpus, and only labels and ids are ranked to
     find them. Entries need `support` toxic documents and a log-likelihood ratio of `evidence`
-    against the clean ones; the `most` strongest stay. Rows without label or text are left out; no
+    against the clean ones; the `most` strongest stay (None: all), and as many exception phrases. Of texts
+    of one doc_id the first in order is learned from. Rows without label or text are left out; no
     usable rows give a model without entries.
     """
     shelf = Shelf(docs.sparkSession)
@@ -121,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, stems: range
         return Model(coef=(float(np.log(rate / (1 - rate))), 0.0, 0.0))
     order = F.xxhash64("doc_id")
     chosen = known.filter("y = 1").orderBy(order).limit(per_class).unionByName(known.filter("y = 0").orderBy(order).limit(per_class))
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter("text is not null").dropDuplicates(["doc_id"])
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter("text is not null").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     sample = shelf.put(_without_copies(sample))
     size = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = max(1, size.get(1, 0)), max(1, size.get(0, 0))
@@ -145,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, stems: range
 
     # an entry of n toxic documents has at most this evidence, so rarer ones need no clean count
     low = max(support, int(np.ceil(evidence / (2 * np.log((n1 + n0) / n1)))))
-    toxic = {r["entry"]: r["n"] for r in count(None)(1).filter(F.col("n") >= low).orderBy(F.desc("n"), "entry").limit(8 * most).collect()}
+    toxic = {r["entry"]: r["n"] for r in count(None)(1).filter(F.col("n") >= low).collect()}
     clean = {r["entry"]: r["n"] for r in count(set(toxic))(0).collect()}
     ranked = []
     for e, a in toxic.items():
@@ -158,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, stems: range
     weights: dict[str, float] = {}
     for _, _, e, w in sorted(ranked, key=lambda r: (r[0], not r[2].endswith(" "), r[1], r[2])):
         word = e.strip()
-        if not any(f" {word[:k]}" in weights for k in stems if k <= len(word)) and len(weights) < most:
+        if not any(f" {word[:k]}" in weights for k in stems if k <= len(word)) and (most is None or len(weights) < most):
             weights[e] = w
     model = Model(weights)
 
@@ -177,7 +187,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, stems: range
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in seen], pa.string()), pa.array([y for _, y in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["phrase", "y", "n"])
 
     said = sample.select("text", "y").mapInArrow(phrases, "phrase string, y int, n long").groupBy("phrase").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("c"))
-    excuses = said.filter((F.col("c") >= 5) & (F.col("c") * F.lit(float(n1)) > F.col("t") * F.lit(20.0 * n0))).orderBy(F.desc("c"), "phrase").limit(most)
+    excuses = said.filter((F.col("c") >= 5) & (F.col("c") * F.lit(float(n1)) > F.col("t") * F.lit(20.0 * n0))).orderBy(F.desc("c"), "phrase")
+    excuses = excuses if most is None else excuses.limit(most)
     model = Model(weights, sorted(r["phrase"] for r in excuses.collect()))
 
     def measure(batches):

@@ -186,3 +186,14 @@ def test_warc_files_round_trip(spark, tmp_path):
 @pytest.mark.parametrize("url,want", [("HTTP://User@Ex.com.:80/a?z=1&b=2#f", "http://ex.com/a?b=2&z=1"), ("https://x:443", "https://x/"), ("https://x:8443/?", "https://x:8443/"), (" ", None), (None, None), ("no scheme", "no scheme")])
 def test_canonical(spark, url, want):
     assert spark.createDataFrame([(url,)], "u string").select(warc.canonical(F.col("u")).alias("c")).first()["c"] == want
+
+
+def test_top_k_of_huge_components(spark):
+    """What leaves 64 bits counts as the nearest number that has them; all else is exact."""
+    rows = [(0, [1e3, 1.0]), (1, [2.0**33, 3.0]), (2, [2.0**33, 4.0]), (3, [-1e300, 0.0]), (6, [1e300, 0.0]), (7, [1e300, 1.0]), (4, [1.0, 1.0]), (5, None)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = bitslice.top_k(table, F.col("vec_id") == 0, k=9).orderBy("rank").collect()
+    assert [r["vec_id"] for r in found] == [6, 7, 2, 1, 4, 3]
+    q = [math.floor(1024 * x) for x in rows[0][1]]
+    want = [sum(a * math.floor(1024 * b) for a, b in zip(q, v, strict=True)) for v in (rows[2][1], rows[1][1], rows[6][1])]
+    assert [r["score"] for r in found] == [2**63 - 1, 2**63 - 1, *want, -(2**63)]
