@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+import json
+import math
 import re
 from dataclasses import dataclass, field
 
@@ -28,13 +30,15 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that are never part of an article's text.
 DROPPED = frozenset("head nav footer aside form button menu dialog fieldset".split())
-#: Words in class, id or role that name such parts.
+#: Words in class, id or role that name such parts, as far as the labelled pages do not say otherwise.
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright "
     "disqus footer form gdpr header login masthead menu menubar nav navbar navigation newsletter notice notices overlay pagination pager popup promo "
     "promoted related recommended respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget "
     "complementary contentinfo dialog alert".split()
 )
+#: Words beside them in a class that say nothing of what a part holds.
+PLAIN = frozenset("area bar block box buttons container group inner items links list outer panel posts section slot unit wrap wrapper".split())
 _P_CLOSERS = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _SELF_CLOSERS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
@@ -45,12 +49,32 @@ class Block:
 
     text: str
     tags: list[str]  # tags since the block before, as features
-    parts: tuple[str, ...]  # named or dropped parts that hold it
+    parts: int  # dropped parts that hold it
     inside: bool  # within article or main
+    marks: tuple[str, ...] = ()  # words of class, id and role of the elements that hold it, if asked for
 
 
-def _part(name: str, attrs: str, within: bool) -> str | None:
-    """The kind of boilerplate that an element is, if any; a header within an article is its own."""
+#: Log odds from which a word of a class names a part that is dropped, and those of NAMES and of other words without evidence.
+NAMED, PRIOR = 2.0, 4.0
+
+
+def odds(word: str, outside: int = 0, inside: int = 0) -> float:
+    """Log odds that a class word is of a part outside the article, from blocks of labelled pages that it holds."""
+    known = word in NAMES
+    return math.log((outside + PRIOR * known + 0.5) / (inside + PRIOR * (not known) + 0.5))
+
+
+def _classes(attrs: str) -> list[str]:
+    """Names in class, id, role and the like, in lower case."""
+    return [w for m in _ATTR.finditer(attrs) for w in (m[1] or m[2] or m[3] or "").lower().split()]
+
+
+def _part(name: str, attrs: str, within: bool, named: dict[str, float]) -> str | None:
+    """The kind of boilerplate that an element is, if any; a header within an article is its own.
+
+    Within an article a class must name boilerplate with all of its words but plain ones: `ad-box`
+    does, `entry-header` does not.
+    """
     if name in DROPPED:
         return name
     if name == "header" and not within:
@@ -60,21 +84,29 @@ def _part(name: str, attrs: str, within: bool) -> str | None:
             if _HIDDEN.search(attrs):
                 return "hidden"
         if name not in ("html", "body", "article", "main"):
-            for m in _ATTR.finditer(attrs):
-                for w in _WORDS.findall((m[1] or m[2] or m[3] or "").lower()):
-                    if w in NAMES:
-                        return w
+            for k in _classes(attrs):
+                words = _WORDS.findall(k)
+                hit = [w for w in words if (named[w] if w in named else odds(w)) >= NAMED]
+                if hit and (not within or all(w in hit or w in PLAIN or w.isdigit() for w in words)):
+                    return hit[0]
     return None
 
 
-def blocks(page: str) -> list[Block]:
-    """The blocks of a page in order. Unclosed and stray tags are resolved as browsers do, roughly."""
+def blocks(page: str, named: dict[str, float] | None = None, marked: bool = False) -> list[Block]:
+    """The blocks of a page in order. Unclosed and stray tags are resolved as browsers do, roughly.
+
+    The time is linear in the page: where a close tag's element is, and the nearest one that it may
+    not cross, is known from the places of the open elements by name.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, str | None]] = []
+    stack: list[tuple[str, str | None, int]] = []  # name, part, number of marks
+    opened: dict[str, list[int]] = {}  # places in the stack by name
+    walls: list[int] = []  # places of the elements that no inline close tag crosses
+    marks: list[str] = []
     tags: list[str] = []
     text: list[str] = []
-    parts: tuple[str, ...] = ()
-    within = 0
+    named = named or {}
+    parts = within = 0
 
     def flush() -> None:
         nonlocal tags
@@ -82,24 +114,28 @@ def blocks(page: str) -> list[Block]:
             whole = _SPACE.sub(" ", html.unescape("".join(text))).strip()
             text.clear()
             if whole:
-                out.append(Block(whole, tags, parts, within > 0))
+                out.append(Block(whole, tags, parts, within > 0, tuple(marks) if marked else ()))
                 tags = []
 
     def pop_to(k: int) -> None:
         nonlocal parts, within
-        for name, part in stack[k:]:
+        while len(stack) > k:
+            name, part, n = stack.pop()
+            opened[name].pop()
+            if name in _P_CLOSERS:
+                walls.pop()
             within -= name in ("article", "main")
-            if part:
-                parts = parts[:-1]
-        del stack[k:]
+            parts -= part is not None
+            if n:
+                del marks[-n:]
 
-    def close(names: set[str] | frozenset[str], stop: set[str] | frozenset[str]) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in names:
-                pop_to(k)
-                return
-            if stack[k][0] in stop:
-                return
+    def last(names) -> int:
+        return max((opened[n][-1] for n in names if opened.get(n)), default=-1)
+
+    def close(names, stop) -> None:
+        at = last(names)
+        if at >= 0 and at > last(stop):
+            pop_to(at)
 
     at = 0
     for m in _TOKEN.finditer(page):
@@ -120,24 +156,28 @@ def blocks(page: str) -> list[Block]:
             flush()
             tags.append(("/" if m["close"] else "") + name)
         if m["close"]:
-            if any(n == name for n, _ in stack):
-                if name in INLINE and not any(n == name for n, _ in stack[-8:]):
-                    continue
-                close({name}, frozenset() if name not in INLINE else _P_CLOSERS)
+            k = last((name,))
+            if k >= 0 and (name not in INLINE or k > (walls[-1] if walls else -1)):
+                pop_to(k)
             continue
         if name in _P_CLOSERS:
-            close({"p"}, {"td", "th", "button", "object", "article", "div", "section", "li"})
+            close(("p",), ("td", "th", "button", "object", "article", "div", "section", "li"))
         elif name in _SELF_CLOSERS:
-            close({name} | ({"dd", "dt"} if name in ("dd", "dt") else {"td", "th"} if name in ("td", "th", "tr") else set()), _SELF_CLOSERS[name])
+            close((name, *(("dd", "dt") if name in ("dd", "dt") else ("td", "th") if name in ("td", "th", "tr") else ())), _SELF_CLOSERS[name])
         if name in VOID or m["attrs"].rstrip().endswith("/") and name not in INLINE and name not in _P_CLOSERS:
             continue
-        part = _part(name, m["attrs"], within > 0)
+        part = _part(name, m["attrs"], within > 0, named)
         if part and name in INLINE:
             flush()
-        stack.append((name, part))
+        own = [w for k in _classes(m["attrs"]) for w in _WORDS.findall(k)] if marked and m["attrs"] and name not in ("html", "body", "article", "main") else []
+        marks += own
+        opened.setdefault(name, []).append(len(stack))
+        if name in _P_CLOSERS:
+            walls.append(len(stack))
+        stack.append((name, part, len(own)))
         within += name in ("article", "main")
         if part:
-            parts = (*parts, part)
+            parts += 1
             tags.append("#" + part)
     if at < len(page):
         text.append(page[at:])
@@ -153,6 +193,7 @@ class Weights:
     tags: dict[str, float] = field(default_factory=lambda: {"/article": -30.0, "/main": -30.0, "article": -6.0})
     other: float = -0.2
     part: float = -1.0
+    named: dict[str, float] = field(default_factory=dict)  # log odds of class words that were seen
 
     def block(self, b: Block) -> tuple[float, float]:
         """Weights of the tags before a block and of its words; words in a part, which go anyway, have none."""
@@ -181,7 +222,7 @@ def region(found: list[Block], weights: Weights) -> tuple[int, int]:
 
 def extract(page: str, weights: Weights) -> str:
     """The text of the best region: its blocks outside boilerplate parts, joined by two newlines."""
-    found = blocks(page)
+    found = blocks(page, weights.named)
     begin, end = region(found, weights)
     return "\n\n".join(b.text for b in found[begin:end] if not b.parts)
 
@@ -189,14 +230,39 @@ def extract(page: str, weights: Weights) -> str:
 def fit(pages: DataFrame, rows: int = 400, rounds: int = 6) -> Weights:
     """Weights from pages that mark their article, by the averaged perceptron of regions.
 
-    The fit uses at most `rows` pages, those of smallest hashed page_id, and of them the ones with
-    an article or main element; words outside it are not content. The bound makes it independent of
-    the size of the table. Without such pages the weights are the starting ones.
+    The fit uses at most `rows` whole pages, those of smallest hashed page_id, and of them the ones
+    with an article or main element; words outside it are not content. The bound makes it independent
+    of the size of the table. Executors parse the pages: the driver gets counts of the class words in
+    and outside the articles, which say what words name boilerplate, and the tags and sizes of the
+    blocks. Of repeated rows of a page_id the first html in order counts. Without such pages the
+    weights are the starting ones.
     """
     ids = pages.filter("html is not null and page_id is not null").select("page_id").distinct().orderBy(F.xxhash64("page_id")).limit(rows)
-    sample = [blocks(r["html"]) for r in pages.select("page_id", "html").join(F.broadcast(ids), "page_id").filter(F.length("html") < 200_000).dropDuplicates(["page_id"]).orderBy("page_id").collect()]
+    chosen = pages.select("page_id", "html").join(F.broadcast(ids), "page_id").groupBy("page_id").agg(F.min("html").alias("html"))
+
+    def count(batches):
+        for batch in batches:
+            seen: dict[str, list[int]] = {}
+            for page in texts_of(batch, "html"):
+                found = blocks(page, marked=True)
+                if any(b.inside and not b.parts for b in found):
+                    for b in found:
+                        for w in set(b.marks):
+                            seen.setdefault(w, [0, 0])[b.inside] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([n[0] for n in seen.values()], pa.int64()), pa.array([n[1] for n in seen.values()], pa.int64())], ["word", "outside", "inside"])
+
+    words = chosen.mapInArrow(count, "word string, outside long, inside long").groupBy("word").agg(F.sum("outside").alias("outside"), F.sum("inside").alias("inside"))
+    named = {r["word"]: odds(r["word"], r["outside"], r["inside"]) for r in words.collect()}
+
+    def parse(batches):
+        for batch in batches:
+            made = [[[" ".join("w" * (b.text.count(" ") + 1)), b.tags, b.parts, b.inside] for b in blocks(h, named)] for h in texts_of(batch, "html")]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([json.dumps(x) for x in made], pa.string())], ["page_id", "blocks"])
+
+    parsed = chosen.mapInArrow(parse, "page_id long, blocks string").orderBy("page_id").collect()
+    sample = [[Block(*b) for b in json.loads(r["blocks"])] for r in parsed]
     sample = [s for s in sample if any(b.inside and not b.parts for b in s)]
-    weights, total, steps = Weights(), {}, 0
+    weights, total, steps = Weights(named=named), {}, 0
 
     for _ in range(rounds):
         wrong = 0

@@ -348,6 +348,13 @@ def test_language_on_tables(spark, odd, none):
     assert langid.keep_identified(odd, path, model).columns == odd.columns
 
 
+PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><h1>Site name</h1><ul class=menu><li>a<li>b</ul></header>
+<div id="cookie-notice">We use cookies, please agree</div><main><article><header><h1>Title &amp; x</h1></header><p>One two<br>three <b>bold</b>ly
+<p>Second par &eacute;<div class="ad-box">Buy now</div><ul><li>item one<li>item two</ul><blockquote>quo</blockquote>
+<form><input value=3>Sub<button>x</button></form><script>var t="</p>";</script><p>Last one here &copy; 2 &lt;tag&gt;</p>
+<section class="comments"><h2>Comments</h2><p>great article I love it</p></section></article><aside>related things</aside></main><footer>(c)</footer></body></html>"""
+
+
 def test_main_text_of_a_page():
     want = ["Title & x", "One two three boldly", "Second par é", "item one", "item two", "quo", "Last one here © 2 <tag>"]
     assert content.extract(PAGE, content.Weights()) == "\n\n".join(want)
@@ -362,7 +369,7 @@ def test_main_text_never_breaks(page):
 def test_region_is_the_best_run():
     rng = np.random.default_rng(0)
     for _ in range(50):
-        found = [content.Block("w " * int(rng.integers(0, 4)) + "w", list(rng.choice(["p", "/p", "hr"], int(rng.integers(0, 3)))), (), False) for _ in range(8)]
+        found = [content.Block("w " * int(rng.integers(0, 4)) + "w", list(rng.choice(["p", "/p", "hr"], int(rng.integers(0, 3)))), 0, False) for _ in range(8)]
         w = content.Weights(tags={"p": -0.5, "/p": -1.0, "hr": -4.0})
         a, b = content.region(found, w)
 
@@ -380,3 +387,76 @@ def test_main_text_on_odd_tables(spark):
     assert [len(r["text"]) for r in rows if r["page_id"] == 4] == [249999]
     none = spark.createDataFrame([], kind)
     assert content.main_text(none, content.fit(none)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ('<article><div class="entry-header"><h1>Title here</h1></div><p>Body text.</p></article>', "Title here\n\nBody text."),
+        ('<article><p>One.</p><section class="social-policy"><p>Two.</p></section><div class="social-share">x</div></article>', "One.\n\nTwo."),
+        ('<div class="site-header">Menu</div><div class=ad>Buy</div><div><p>Some words of an article.</p></div>', "Some words of an article."),
+        ("<p>a<b>b</p><p>c</b>d</p>", "ab\n\ncd"),
+        ("<ul><li>one<li>two</ul><table><tr><td>x<td>y</table>", "one\n\ntwo\n\nx\n\ny"),
+        ("<span><div>a</span>b</div>c</span>d", "ab\n\nc d".replace("c d", "cd")),
+        ("", ""),
+    ],
+)
+def test_blocks_of_hand_pages(page, want):
+    assert content.extract(page, content.Weights()) == want
+
+
+def test_parsing_is_linear():
+    import time
+
+    for page in ("<div>" * 70_000 + "</span>" * 70_000 + "x", "<span><div>" + "<b>" * 100_000 + "</span>" * 100_000 + "x", "<div class=ad>" * 60_000 + "x", "<p>" * 200_000):
+        began = time.perf_counter()
+        content.extract(page, content.Weights())
+        assert time.perf_counter() - began < 8
+
+
+def brute_text(page):
+    """Blocks of a page of div, p, b, nav and article tags, nested as written, by recursion."""
+    out, text, at = [], [], [0]
+    tokens = re.findall(r"</?\w+>|[^<]+", page)
+
+    def flush():
+        if "".join(text).strip():
+            out.append(" ".join("".join(text).split()))
+        text.clear()
+
+    def walk(keep):
+        while at[0] < len(tokens):
+            t = tokens[at[0]]
+            at[0] += 1
+            if t[0] != "<":
+                if keep:
+                    text.append(t)
+            elif t[1] == "/":
+                return
+            else:
+                block = t != "<b>"
+                if block:
+                    flush()
+                walk(keep and t != "<nav>")
+                if block:
+                    flush()
+
+    walk(True)
+    flush()
+    return out
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.recursive(st.sampled_from(["a b ", "c", " d&e "]), lambda inner: st.tuples(st.sampled_from(["div", "b", "nav", "section"]), st.lists(inner, max_size=4)).map(lambda x: f"<{x[0]}>{''.join(x[1])}</{x[0]}>"), max_leaves=20))
+def test_blocks_equal_brute_force(page):
+    assert [b.text for b in content.blocks(page) if not b.parts] == brute_text(page)
+
+
+def test_class_words_are_learned(spark):
+    """A word of boilerplate that articles use for themselves is kept; another that only surrounds them goes."""
+    page = '<div class="teaser">More to read {0}</div><article><div class="widget">Word {0} of it.</div><p>And more {0}.</p></article>'
+    pages = spark.createDataFrame([(k, "u", page.format(k), "e") for k in range(60)], "page_id long, url string, html string, extra string")
+    weights = content.fit(pages)
+    assert weights.named["teaser"] >= content.NAMED > weights.named["widget"]
+    assert content.extract('<div class="teaser">No.</div><div class="widget">Yes, this text.</div>', weights) == "Yes, this text."
+    assert content.extract('<div class="teaser">No.</div><div class="widget">Gone</div>', content.Weights()) == "No."
