@@ -275,8 +275,8 @@ class Bm25:
         self.asked = [term[first[i] : first[i + 1]] for i in range(n)]
         self.n = n
 
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """The best unused documents for `seed`, best first, ties to the earlier one."""
+    def neighbours(self, seed: int, unused: np.ndarray, most: int | None = None) -> np.ndarray:
+        """The best unused documents for `seed`, all or at least `most` of them, best first, ties to the earlier one."""
         terms = self.asked[seed]
         if not len(terms):
             return terms
@@ -285,6 +285,8 @@ class Bm25:
         score = np.bincount(doc, np.concatenate([self.weight[s] for s in spans]), self.n)
         score[~unused] = 0
         found = np.flatnonzero(score > 0)
+        if most is not None and len(found) > most:
+            found = found[score[found] >= np.partition(score[found], -most)[-most]]
         return found[np.lexsort((found, -score[found]))]
 
 
@@ -340,8 +342,8 @@ def pack(docs: DataFrame, path: str, last: int = 1, window: int = WINDOW) -> Dat
     """One row per piece of a document in a sequence of at most `window` tokens.
 
     Each input partition is cut into shards of bounded size with a BM25 index of their own. A seed
-    document opens a window; its best unused neighbours that fit whole go in first, then the best
-    of all is cut, and what is left of it seeds the next window. Nothing is shuffled, and all
+    document opens a window; its best unused neighbours follow, best first, and the one that does not
+    fit is cut, and what is left of it seeds the next window. Nothing is shuffled, and all
     sequences are full, but for those of powers of two that end a partition. `sequence_id` is the
     partition's number times 2^40 and a counter. Null and empty texts are the `last` id alone;
     repeated rows are packed each; an empty table gives an empty result.
@@ -360,7 +362,8 @@ def pack(docs: DataFrame, path: str, last: int = 1, window: int = WINDOW) -> Dat
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
-def fill(packer: Packer, doc_ids: list, ids: list[np.ndarray], index: Bm25) -> None:
+def fill(packer: Packer, doc_ids: list, ids: list[np.ndarray], index: Bm25, ask: int = 16) -> None:
+    """Packs all documents: after a seed its best unused neighbours, asked for `ask` at a time; the one that does not fit is cut and seeds the next window."""
     unused = np.ones(len(ids), bool)
     sizes = np.array([len(x) for x in ids])
     for first in range(len(ids)):
@@ -368,20 +371,18 @@ def fill(packer: Packer, doc_ids: list, ids: list[np.ndarray], index: Bm25) -> N
         while unused[seed]:
             unused[seed] = False
             packer.put(doc_ids[seed], ids[seed])
-            while packer.used:
-                near = index.neighbours(seed, unused)
+            while packer.used and not unused[seed]:
+                near = index.neighbours(seed, unused, ask)
                 if not len(near):
                     break
-                room = packer.window - packer.used
                 for k in near.tolist():
-                    if sizes[k] <= room:
-                        unused[k] = False
-                        packer.put(doc_ids[k], ids[k])
-                        room -= sizes[k]
-                rest = near[unused[near]]
-                if room and len(rest):
-                    seed = int(rest[0])
-                    break
+                    if sizes[k] > packer.window - packer.used:
+                        seed = k
+                        break
+                    unused[k] = False
+                    packer.put(doc_ids[k], ids[k])
+                    if not packer.used:
+                        break
 
 
 def _shards(batches):

@@ -257,7 +257,16 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5) ->
     near = spanning_pairs(shelf, stored, probes, filtered, distinct.select(F.col("first").alias("id"), F.col("fp").alias("value")), lambda p, q: distance(p, q) <= sure)
     whole = near.join(distinct.select(F.col("first").alias("a"), F.col("fp").alias("p")), "a").join(distinct.select(F.col("first").alias("b"), F.col("fp").alias("q")), "b")
     close = shelf.put(whole.filter(distance(F.col("p"), F.col("q")) <= limit).select("a", "b", F.col("p")[0].alias("x"), F.col("q")[0].alias("y")))
-    groups = connected_components(shelf, _verified(shelf, docs, close, similarity, words))
+    # each document is first held against the smallest one that it may be like: their links connect most groups, and a
+    # pair within one of these needs no look; only pairs across them are decided too, so large groups cost one pair a member
+    star = close.groupBy("b", "y").agg(F.min(F.struct("a", "x")).alias("m")).select("m.a", "b", "m.x", "y")
+    linked = shelf.put(_verified(shelf, docs, star, similarity, words))
+    within = shelf.put(connected_components(shelf, linked))
+    left, right = (within.select(F.col("node").alias(k), F.col("component").alias(f"of_{k}")) for k in "ab")
+    apart = close.join(left, "a", "left").join(right, "b", "left").filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+    across = shelf.put(apart.select("a", "b", "x", "y"))
+    linked = linked.unionByName(_verified(shelf, docs, across, similarity, words))
+    groups = connected_components(shelf, linked)
     named = distinct.join(groups, F.col("first") == F.col("node"), "left")
     named = shelf.put(named.select("fp", F.coalesce("component", "first").alias("component_id")))
     return fps.join(named, "fp").select("doc_id", "component_id")

@@ -124,6 +124,39 @@ def test_packing_prefers_lexical_neighbours():
     assert order.index(2) < order.index(1)
 
 
+def test_neighbours_equal_brute_force():
+    rng = np.random.default_rng(4)
+    terms = [rng.integers(0, 60, int(rng.integers(0, 40))).astype(np.int32) for _ in range(50)] + [np.array([], np.int32), np.array([999], np.int32)]
+    terms.append(terms[3])
+    index, n, sizes = packing.Bm25(terms), len(terms), np.array([len(x) for x in terms], float)
+    df = Counter(t for x in terms for t in set(x.tolist()))
+    for seed in range(n):
+        unused = rng.random(n) < 0.8
+        unused[seed] = False
+        score = np.zeros(n)
+        for k in np.flatnonzero(unused).tolist():
+            count = Counter(terms[k].tolist())
+            score[k] = sum(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * count[t] * 2.2 / (count[t] + 1.2 * (0.25 + 0.75 * sizes[k] / sizes.mean())) for t in set(terms[seed].tolist()) & count.keys())
+        got = index.neighbours(seed, unused)
+        assert sorted(got.tolist()) == np.flatnonzero(score > 0).tolist()
+        assert np.allclose(score[got], np.sort(score[score > 0])[::-1], rtol=1e-5)
+        some = index.neighbours(seed, unused, 5)
+        assert some[:5].tolist() == got[:5].tolist()
+
+
+def test_words_of_one_hash_keep_their_ids():
+    """Thue-Morse words collide under any polynomial hash modulo 2^64."""
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    library, tokens = Tokenizer.from_file(path), packing.WordTokens(path)
+    morse = lambda n: "".join("ab"[k.bit_count() & 1] for k in range(n))
+    other = str.maketrans("ab", "ba")
+    for texts in (["x" + morse(2048) + "y" * 4096, "x" + morse(2048).translate(other) + "y" * 4096], ["x" + morse(1024) + "x x" + morse(1024).translate(other) + "x", "a b"]):
+        ids, _ = tokens.encode(texts, 1)
+        assert [x.tolist()[:-1] for x in ids] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_packing_scores_all_terms_of_a_long_document():
     rare, middling = list(range(12)), list(range(100, 130))
     chance = [[x, 1000 + x] for x in rare]  # each shares one rare term with the seed
