@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Config
-from .operators import quality, report, spatial
+from .operators import pixels, quality, report, spatial
 from .operators.synthesis import generate
 from .sources import export, images
 
@@ -83,7 +83,10 @@ class Workspace:
         """Warnings of all rules, near-duplicates and unreadable files."""
         seeds, bad = images.load_seeds(self.spark, str(self._at(project) / "seeds"))
         rules = quality.warnings(seeds.select("id", "width", "height", "mean_brightness", "blur_score"))
-        return rules.join(seeds.select("id", "path"), "id").select("path", "code", "message", "severity").unionByName(bad)
+        pairs = quality.near_pairs(pixels.marks(seeds, "id").filter("hash is not null").select("id", "hash"))
+        copies = quality.duplicate_warnings(pairs).select("id", "code", F.lit("warning").alias("severity"), F.format_string("%d bits from image %d", "distance", "of").alias("message"))
+        found = rules.unionByName(copies).join(seeds.select("id", "path"), "id")
+        return found.select("path", "code", "message", "severity").unionByName(bad)
 
     def create_run(self, project: str, config: Config) -> dict:
         """Synthesises a run, writes samples, exports, previews and the report, and records it."""
@@ -128,24 +131,37 @@ class Workspace:
 
 
 def run_report(samples: DataFrame) -> dict:
-    """Statistics, leakage, splits and spatial measures of a run; pixels are read for brightness only."""
+    """Statistics, validation, leakage, splits, duplicates, brightness and spatial measures of a run.
+
+    Pixels are read once, for brightness, hashes and the masks' values.
+    """
+    seen = pixels.marks(samples, "sample_idx").cache()
+    samples = samples.withColumn("id", F.col("sample_idx")).drop("image", "mask").join(seen, "id")
     area = F.aggregate("instances", F.lit(0).cast("long"), lambda a, i: a + i["area"])
     rows = samples.select(
         "split",
         "source_seed",
         "defect_type",
         F.least(area * 100.0 / (F.col("width") * F.col("height")), F.lit(100.0)).alias("area_percent"),
-        F.lit(0.0).alias("brightness"),
+        "brightness",
         F.size("instances").alias("annotations"),
     )
     boxes = samples.select("width", "height", F.inline("instances"))
     centre = boxes.filter("area > 0").select(F.least(F.lit(63), ((F.col("y") + F.col("h") / 2) * 64 / F.col("height")).cast("int")).alias("y"), F.least(F.lit(63), ((F.col("x") + F.col("w") / 2) * 64 / F.col("width")).cast("int")).alias("x"))
     one = lambda df: df.first().asDict(True)
-    return {
+    bad_box = F.exists("instances", lambda i: (i["area"] > 0) & ((i["w"] <= 0) | (i["h"] <= 0)))
+    codes = F.array_compact(F.array(F.when(~F.col("mask_size"), "shape_mismatch"), F.when(~F.col("mask_values"), "invalid_mask"), F.when(area == 0, "empty_mask"), F.when(bad_box, "invalid_bbox")))
+    hashes = seen.filter("hash is not null").select("id", "hash")
+    found = {
         "statistics": one(report.statistics(rows)),
         "defects": {r["defect_type"]: r["n"] for r in report.counts_by(rows, "defect_type").collect()},
         "splits": [r.asDict(True) for r in report.split_statistics(rows).collect()],
         "balance": one(report.split_balance(rows)),
         "leaked_seeds": report.leakage(rows).count(),
         "spatial_distribution": one(spatial.metrics(spatial.heat(centre), 64, 64)),
+        "validation": {r["code"]: r["n"] for r in report.validation(samples.select(codes.alias("codes"))).collect()},
+        "output_duplicates": one(quality.duplicate_summary(hashes, quality.near_pairs(hashes))),
+        "brightness_distribution": one(quality.distribution(seen, {"brightness": "brightness"})),
     }
+    seen.unpersist()
+    return found

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import lcg
@@ -35,7 +35,8 @@ def _classes(rows: DataFrame) -> dict[int, int]:
 def train_probe(synthetic: DataFrame, real: DataFrame | None, names: list[str], trees: int = TREES) -> dict:
     """Cross-validated accuracy on the synthetic rows, scores on the real ones, importances, gap.
 
-    Folds are stratified by a hashed order within each label. One class only is reported, not raised.
+    Folds are stratified: rows of a label take the folds in turn, in a hashed order. One class only is
+    reported, not raised. The rows are a probe's, which fit one machine.
     """
     counts = _classes(synthetic)
     if len(counts) < 2:
@@ -44,15 +45,14 @@ def train_probe(synthetic: DataFrame, real: DataFrame | None, names: list[str],
     k = min(5, max(2, n // 2), *counts.values())
     if k < 2:
         return {"error": "a class has one row"}
-    folded = _assembled(synthetic, names).withColumn("fold", F.pmod(lcg(F.col("id"), 777) % 65537, F.lit(k)))
+    place = F.row_number().over(Window.partitionBy("label").orderBy(lcg(F.col("id"), 777), "id"))
+    folded = _assembled(synthetic, names).withColumn("fold", F.pmod(place, F.lit(k)))
     folded = folded.select("id", "label", "features", "fold").cache()
     right = 0.0
     for fold in range(k):
         train = folded.filter(F.col("fold") != fold)
         test = folded.filter(F.col("fold") == fold)
         m = test.count()
-        if not m or len(_classes(train)) < 2:
-            continue
         right += _scores(_fit(train, trees), test)["accuracy"] * m
     model = _fit(folded, trees)
     out = {"cv_accuracy": right / n, "importances": dict(zip(names, map(float, model.featureImportances.toArray()), strict=True))}

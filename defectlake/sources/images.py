@@ -139,7 +139,7 @@ def surfaces(spark: SparkSession, n: int, size: int = 256, seed: int = 0) -> Dat
         for batch in batches:
             rows = []
             for k in batch.column(0).to_pylist():
-                kind = SURFACES[k % 4]
+                kind = SURFACES[k % len(SURFACES)]
                 rows.append((k, f"{kind}_{k:03d}.png", size, size, surface(kind, size, seed + k).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary()], strict=True)] if rows else [], ["id", "path", "width", "height", "image"] if rows else [])
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from defectlake.catalog import Workspace, run_report
 from defectlake.config import Config
-from defectlake.operators import features, fusion, labels, measures, probe, quality, raster, report, spatial
+from defectlake.operators import features, fusion, labels, measures, pixels, probe, quality, raster, report, spatial
 from defectlake.operators.synthesis import generate
 from defectlake.plans import planner
 from defectlake.sources import export, images
@@ -70,6 +70,11 @@ def test_coco_export(spark, made, tmp_path):
     doc = json.loads((tmp_path / "annotations.coco.json").read_text())
     assert counts["images"] == 12 == len(doc["images"]) and [i["id"] for i in doc["images"]] == list(range(1, 13))
     assert [a["id"] for a in doc["annotations"]] == list(range(1, counts["annotations"] + 1)) and all(a["area"] > 0 for a in doc["annotations"])
+    for a in doc["annotations"]:
+        x, y, w, h = a["bbox"]
+        points = [v for border in a["segmentation"] for v in border]
+        assert all(x <= v < x + w for v in points[::2]) and all(y <= v < y + h for v in points[1::2])
+    assert any(a["segmentation"] for a in doc["annotations"])
     assert [c["id"] for c in doc["categories"]] == list(range(1, len(doc["categories"]) + 1))
     assert len(list((tmp_path / "images").iterdir())) == 12 == len(list((tmp_path / "masks").iterdir()))
     lines = (tmp_path / "metadata.jsonl").read_text().splitlines()
@@ -122,6 +127,20 @@ def test_workspace(spark, seed_folder, tmp_path):
 def test_report(made):
     doc = run_report(made)
     assert doc["statistics"]["total_images"] == 12 and doc["statistics"]["total_annotations"] == 24 and doc["leaked_seeds"] == 0
+    light = [np.frombuffer(r["image"], np.uint8).mean() for r in made.select("image").collect()]
+    assert doc["statistics"]["mean_brightness"] == pytest.approx(np.mean(light)) and doc["brightness_distribution"]["high"] == pytest.approx(max(light))
+    assert sum(doc["validation"].values()) == 12 and not set(doc["validation"]) - {"valid", "empty_mask"}
+    assert doc["output_duplicates"]["total"] == 12
+
+
+def test_marks_of_images(spark):
+    rng = np.random.default_rng(0)
+    small = rng.integers(0, 256, (8, 9), np.uint8)
+    rows = [(1, 9, 8, np.repeat(small[..., None], 3, 2).tobytes(), bytes(72)), (2, 90, 80, np.repeat(np.kron(small, np.ones((10, 10), np.uint8))[..., None], 3, 2).tobytes(), b"\x01"), (3, 0, 0, None, None)]
+    found = {r["id"]: r for r in pixels.marks(spark.createDataFrame(rows, "id long, width int, height int, image binary, mask binary"), "id").collect()}
+    want = int("".join(str(int(b)) for b in (small[:, 1:] > small[:, :-1]).ravel()), 2)
+    assert found[1]["hash"] % 2**64 == want == found[2]["hash"] % 2**64 and found[3]["hash"] is None
+    assert found[1]["brightness"] == pytest.approx(small.mean()) and found[1]["mask_size"] and not found[2]["mask_size"] and not found[2]["mask_values"]
 
 
 def mask_row(spark, mask, px=None):
@@ -279,6 +298,20 @@ def test_streams(spark, tmp_path):
     assert sorted((r["k"], r["n"], r["total"]) for r in spark.table("rates_now").collect()) == [("a", 2, 3.0), ("b", 1, 4.0)]
 
 
+def test_all_kinds_of_surfaces(spark):
+    assert {r["path"].rsplit("_", 1)[0] for r in images.surfaces(spark, 5, 32).select("path").collect()} == set(images.SURFACES)
+
+
+def test_seed_report_has_duplicates(spark, seed_folder, tmp_path):
+    w = Workspace(spark, str(tmp_path))
+    p = w.create("copies")["id"]
+    with open(os.path.join(seed_folder, "seed_000.png"), "rb") as f:
+        data = f.read()
+    for name in ("a.png", "b.png"):
+        w.add_seed(p, name, data)
+    assert [r["path"].rsplit("/", 1)[-1] for r in w.seed_report(p).filter("code = 'duplicate'").collect()] == ["b.png"]
+
+
 def test_surfaces(spark):
     rows = images.surfaces(spark, 4, 32).collect()
     assert len(rows) == 4 and all(len(r["image"]) == 32 * 32 * 3 for r in rows)
