@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Shelf, connected_components, keep_one, slices, texts_of
@@ -184,10 +184,8 @@ def near_duplicates(docs: DataFrame, bits: int = 4, words: int = 4, segments: in
     return fps.join(named, "fp")
 
 
-#: Lanes whose complete distance a candidate passes, at least, before its shingles are compared.
+#: Lanes of a wide fingerprint, at least.
 LANES = 16
-#: Share of differing bits of four shingles and the same with a fifth, the most at a similarity of 0.8: ties leave bits unset.
-SHORT = 0.1875
 
 
 def plan_segments(n: int, similarity: float, recall: float = 0.98) -> tuple[int, int, int, float]:
@@ -205,86 +203,192 @@ def plan_segments(n: int, similarity: float, recall: float = 0.98) -> tuple[int,
     return width, segments, max(LANES, -(-segments // (64 // width))), share
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
-    """doc_id and component_id of documents linked by the Jaccard similarity of their shingles.
+#: Smallest hashes that make one band, and the chance that a pair at the limit of similarity shares a band.
+ROWS, RECALL = 5, 0.999
+#: Weight (shingles, and MEMBER for each document) of a cell that one task compares.
+CELL, MEMBER = 1 << 22, 128
 
-    Wide fingerprints are looked up by Hamming balls of radius one in each segment; candidates are
-    first filtered by one lane, then by their complete distance, with three standard deviations of
-    slack over the expected one, and decided by their sets of distinct shingles. Equal fingerprints
-    are one vertex. Null and empty texts have fingerprint zero and are copies of each other.
-    """
-    shelf = Shelf(docs.sparkSession)
-    n = docs.count()
-    width, segments, lanes, share = plan_segments(n, similarity)
 
-    def run(batches):
-        keep_one("fingerprints", dict)
-        for batch in batches:
-            fps = [lanes_of(t, words, lanes, repeats=False).view(np.int64).tolist() for t in texts_of(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "fp"])
+def plan_bands(similarity: float, recall: float = RECALL) -> int:
+    """Number of bands: a band of ROWS smallest hashes is shared with probability similarity^ROWS, whatever else the table holds."""
+    return int(np.ceil(np.log(1 - recall) / np.log(1 - similarity**ROWS)))
 
-    fps = shelf.put(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp array<long>"))
-    distinct = shelf.put(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    per = 64 // width
-    mask, bits = F.lit((1 << width) - 1).cast("long"), 64 * lanes
-    # the bounds leave room for chance in what the share of differing bits says; `sure` leaves none to a pivot's link
-    wide = max(share, SHORT)
-    limit = int(round(bits * wide + 3 * np.sqrt(bits * wide * (1 - wide))))
-    sure = int(round(bits * share - 4 * np.sqrt(bits * share * (1 - share))))
-    lane_limit = int(round(64 * wide + 3.5 * np.sqrt(64 * wide * (1 - wide))))
 
-    def key(s: int):
-        return F.shiftrightunsigned(F.col("fp")[s // per], (s % per) * width).bitwiseAND(mask)
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    def tagged(s: int, k):
-        return k * F.lit(segments) + F.lit(s)
 
-    def ball(s: int):
-        own = key(s)
-        flips = F.array(*[F.lit(1 << i).cast("long") for i in range(width)])
-        unset = F.filter(flips, lambda m: own.bitwiseAND(m) == 0)
-        return F.transform(unset, lambda m: tagged(s, own.bitwiseOR(m)))
+def band_keys(sets: list[np.ndarray], bands: int) -> np.ndarray:
+    """One row of `bands` keys for each set of hashes: equal where the smallest hashes of a band are, the number of the band mixed in."""
+    odd = np.random.default_rng(SEED).integers(0, 2**63, bands * ROWS, dtype=np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
+    least = np.full((len(sets), bands * ROWS), 2**64 - 1, np.uint64)
+    for row, own in zip(least, sets, strict=True):
+        for k in range(0, len(own), 512):
+            np.minimum(row, (odd * own[k : k + 512]).min(1), out=row)
+    least = least.reshape(len(sets), bands, ROWS)
+    keys = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(sets), bands))
+    for k in range(ROWS):
+        keys = _mix((keys ^ least[:, :, k]) + np.uint64(0x9E3779B97F4A7C15))
+    return keys
+
+
+def _parities(flat: np.ndarray, begin: np.ndarray, bits: int) -> np.ndarray:
+    """A bitmap for each set: whether an odd number of its hashes falls on a bit."""
+    n = len(begin) - 1
+    out = np.zeros((n, bits // 64), np.uint64)
+    for i in range(0, n, step := max(1, (1 << 21) // bits)):
+        j = min(n, i + step)
+        row = np.repeat(np.arange(j - i), np.diff(begin[i : j + 1]))
+        at = (flat[begin[i] : begin[j]] & np.uint64(bits - 1)).astype(np.int64)
+        odd = (np.bincount(row * bits + at, minlength=(j - i) * bits) & 1).astype(np.uint8)
+        out[i:j] = np.packbits(odd.reshape(j - i, bits), axis=1, bitorder="little").view(np.uint64)
+    return out
+
 
-    keys = [F.array(tagged(s, key(s))) for s in range(segments)]
-    lane = F.col("fp")[0]
-    stored = distinct.select(F.col("first").alias("a"), lane.alias("x"), F.explode(F.concat(*keys)).alias("key"))
-    probes = distinct.select(F.col("first").alias("b"), lane.alias("y"), F.explode(F.concat(*keys, *[ball(s) for s in range(segments)])).alias("key"))
-    filtered = (F.col("a") != F.col("b")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= lane_limit)
+def linked_sets(flat: np.ndarray, begin: np.ndarray, similarity: float) -> np.ndarray:
+    """For each sorted set the first set that it is connected with by links of Jaccard similarity `similarity` or more.
+
+    A search from each set meets only those not reached yet. Two sets differ in at least as many hashes as
+    their parity bitmaps in bits, which excludes most pairs and no link; the others are compared exactly.
+    """
+    size = np.diff(begin)
+    bits = 1 << int(np.clip(np.ceil(np.log2(2 * max(1, size.max()))), 8, 12))
+    rest, label = np.arange(len(size)), np.arange(len(size))
+    maps = _parities(flat, begin, bits)
+    left = maps
+    slack = (1 - similarity) / (1 + similarity)
+    while len(rest):
+        root, queue = rest[0], [rest[0]]
+        rest, left = rest[1:], left[1:]
+        while queue and len(rest):
+            v = queue.pop()
+            own = flat[begin[v] : begin[v + 1]]
+            differ = np.bitwise_count(left ^ maps[v]).sum(1, dtype=np.int64)
+            maybe = np.flatnonzero(differ <= slack * (size[rest] + size[v]) + 1e-6)
+            hits = []
+            for k in range(0, len(maybe), 256):
+                some = maybe[k : k + 256]
+                other = [flat[begin[u] : begin[u + 1]] for u in rest[some].tolist()]
+                both, ends = np.concatenate(other), np.cumsum([len(x) for x in other])
+                there = np.append(own[np.minimum(np.searchsorted(own, both), len(own) - 1)] == both if len(own) else np.zeros(len(both), bool), False)
+                total = np.concatenate(([0], np.cumsum(there)))
+                shared = total[ends] - total[ends - size[rest[some]]]
+                union = size[v] + size[rest[some]] - shared
+                hits.append(some[(union == 0) | (shared / np.maximum(union, 1) >= similarity)])
+            if hits and len(found := np.concatenate(hits)):
+                label[rest[found]] = root
+                queue += rest[found].tolist()
+                stay = np.ones(len(rest), bool)
+                stay[found] = False
+                rest, left = rest[stay], left[stay]
+    return label
 
-    def distance(p, q):
-        return sum((F.bit_count(p[i].bitwiseXOR(q[i])) for i in range(lanes)), F.lit(0))
 
-    near = spanning_pairs(shelf, stored, probes, filtered, distinct.select(F.col("first").alias("id"), F.col("fp").alias("value")), lambda p, q: distance(p, q) <= sure)
-    whole = near.join(distinct.select(F.col("first").alias("a"), F.col("fp").alias("p")), "a").join(distinct.select(F.col("first").alias("b"), F.col("fp").alias("q")), "b")
-    close = shelf.put(whole.filter(distance(F.col("p"), F.col("q")) <= limit).select("a", "b", F.col("p")[0].alias("x"), F.col("q")[0].alias("y")))
-    groups = connected_components(shelf, _verified(shelf, docs, close, similarity, words))
+def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
+    """doc_id and component_id of documents linked by the Jaccard similarity of their distinct shingles.
+
+    Documents of one set of shingles are one vertex. Those that share a band of smallest hashes (a
+    pair at the limit does with probability RECALL, a closer one more likely) are joined into
+    clusters, and all pairs of a cluster are decided by their sets. Null and empty texts are copies
+    of each other; rows without doc_id link with nothing.
+    """
+    shelf = Shelf(docs.sparkSession)
+    bands = plan_bands(similarity)
+
+    def mark(batches):
+        from xxhash import xxh3_128_digest
+
+        keep_one("fingerprints", dict)
+        for batch in slices(batches):
+            sets = [shingles_of(t, words, repeats=False) for t in texts_of(batch)]
+            name = np.frombuffer(b"".join(xxh3_128_digest(x.tobytes()) for x in sets), np.int64).reshape(len(sets), 2)
+            begin = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands)
+            keys = pa.ListArray.from_arrays(begin, pa.array(band_keys(sets, bands).view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(name[:, 0]), pa.array(name[:, 1]), pa.array([len(x) for x in sets], pa.int32()), keys], ["doc_id", "h1", "h2", "size", "keys"])
+
+    marks = shelf.put(docs.select("doc_id", "text").mapInArrow(mark, "doc_id long, h1 long, h2 long, size int, keys array<long>"))
+    distinct = marks.filter("doc_id is not null").groupBy("h1", "h2", "size", "keys").agg(F.min("doc_id").alias("first"))
+    distinct = shelf.put(distinct)
+    same_key = Window.partitionBy("key")
+    met = distinct.filter("size > 0").select("first", F.explode("keys").alias("key")).withColumn("low", F.min("first").over(same_key))
+    clusters = shelf.put(connected_components(shelf, met.filter("low <> first").select(F.col("low").alias("a"), F.col("first").alias("b"))))
+    cells = _cells(shelf, distinct, clusters, bands)
+    groups = connected_components(shelf, _verified(docs, cells, similarity, words))
     named = distinct.join(groups, F.col("first") == F.col("node"), "left")
-    named = shelf.put(named.select("fp", F.coalesce("component", "first").alias("component_id")))
-    return fps.join(named, "fp").select("doc_id", "component_id")
+    named = named.select("h1", "h2", F.coalesce("component", "first").alias("component_id"))
+    return marks.select("doc_id", "h1", "h2").join(named, ["h1", "h2"], "left").select("doc_id", "component_id")
 
 
-def _verified(shelf: Shelf, docs: DataFrame, close: DataFrame, similarity: float, words: int) -> DataFrame:
-    """The pairs (a, b) of `close` whose distinct shingles have a Jaccard similarity of `similarity` or more.
+def _cells(shelf: Shelf, distinct: DataFrame, clusters: DataFrame, bands: int) -> DataFrame:
+    """first, h1, h2 and the numbers of the cells in which a vertex of a cluster meets the others.
 
-    `x` and `y` are first lanes, which tell texts of one repeated doc_id apart.
+    A cluster is one cell if its weight is up to CELL. A heavier one is cut into parts, and each two
+    of them meet in a cell; if that takes more cells a vertex than it has keys, only those of one
+    key meet, and the vertices of a heavy key are cut likewise.
     """
+    weight = F.sum(F.col("size") + MEMBER).alias("weight")
+    members = distinct.join(clusters, F.col("first") == F.col("node"))
+    sizes = shelf.put(members.groupBy("component").agg(weight))
+    most = F.lit(bands * CELL // 2)
+
+    def cut(df: DataFrame) -> DataFrame:
+        """From key and weight: the cells of each row."""
+        parts = F.when(F.col("weight") > CELL, F.ceil(F.col("weight") * 2 / CELL)).otherwise(1).cast("int")
+        own = F.pmod(F.xxhash64("h1", "h2"), F.lit(1 << 30)) % F.col("parts")
+        cell = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.xxhash64("key", F.least(F.col("own"), o), F.greatest(F.col("own"), o)))
+        return df.withColumn("parts", parts).withColumn("own", own).select("first", "h1", "h2", cell.alias("cells"))
+
+    whole = members.join(sizes.filter(F.col("weight") <= most), "component")
+    cells = cut(whole.select("first", "h1", "h2", F.col("component").alias("key"), "weight"))
+    heavy = sizes.filter(F.col("weight") > most)
+    if heavy.limit(1).count():
+        keyed = members.join(heavy.select("component"), "component", "left_semi").select("first", "h1", "h2", "size", F.explode("keys").alias("key"))
+        keyed = keyed.join(keyed.groupBy("key").agg(weight, F.count("*").alias("n")).filter("n > 1").select("key", "weight"), "key")
+        more = cut(keyed).groupBy("first", "h1", "h2").agg(F.array_distinct(F.flatten(F.collect_list("cells"))).alias("cells"))
+        cells = cells.unionByName(more)
+    return cells
+
+
+def _verified(docs: DataFrame, cells: DataFrame, similarity: float, words: int) -> DataFrame:
+    """Links (a, b) with the same components as all pairs of a cell whose similarity is `similarity` or more."""
+
+    def sets_of(batches):
+        from xxhash import xxh3_128_digest
 
-    def run(batches):
         for batch in slices(batches):
             sets = [shingles_of(t, words, repeats=False) for t in texts_of(batch)]
-            lane = np.array([lanes_of(t, words, 1, repeats=False)[0] for t in texts_of(batch)], np.uint64)
-            begin = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
-            flat = pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lane.view(np.int64)), pa.ListArray.from_arrays(pa.array(begin), flat)], ["id", "lane", "set"])
-
-    asked = close.select(F.col("a").alias("doc_id")).unionByName(close.select(F.col("b").alias("doc_id"))).distinct()
-    sets = docs.select("doc_id", "text").join(asked, "doc_id", "left_semi").mapInArrow(run, "id long, lane long, set array<long>")
-    sets = shelf.put(sets.dropDuplicates(["id", "lane"]))
-    left = sets.select(F.col("id").alias("a"), F.col("lane").alias("x"), F.col("set").alias("s"))
-    right = sets.select(F.col("id").alias("b"), F.col("lane").alias("y"), F.col("set").alias("t"))
-    both = close.join(left, ["a", "x"]).join(right, ["b", "y"])
-    both = both.select("a", "b", F.size("s").alias("m"), F.size("t").alias("n"), F.size(F.array_intersect("s", "t")).alias("shared"))
-    return both.filter(F.try_divide("shared", F.col("m") + F.col("n") - F.col("shared")) >= similarity).select("a", "b")
+            name = np.frombuffer(b"".join(xxh3_128_digest(x.tobytes()) for x in sets), np.int64).reshape(len(sets), 2)
+            at = np.flatnonzero((name[:, 0] == batch.column(1).to_numpy()) & (name[:, 1] == batch.column(2).to_numpy()))  # texts of one repeated doc_id
+            data = pa.array([sets[k].tobytes() for k in at.tolist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(3).take(pa.array(at)), data], ["id", "cells", "data"])
+
+    def compare(batches):
+        cell, ids, data = None, [], []
+
+        def links():
+            begin = np.concatenate(([0], np.cumsum([len(x) // 8 for x in data])))
+            who = np.array(ids, np.int64)
+            label = linked_sets(np.frombuffer(b"".join(data), np.uint64), begin, similarity)
+            at = np.flatnonzero(who[label] != who)
+            return pa.RecordBatch.from_arrays([pa.array(who[label[at]]), pa.array(who[at])], ["a", "b"])
+
+        for batch in slices(batches):
+            for now, i, x in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if now != cell:
+                    if len(ids) > 1:
+                        yield links()
+                    cell, ids, data = now, [], []
+                ids.append(i)
+                data.append(x)
+        if len(ids) > 1:
+            yield links()
+
+    asked = docs.select("doc_id", "text").join(cells.withColumnRenamed("first", "doc_id"), "doc_id")
+    sets = asked.select("doc_id", "h1", "h2", "cells", "text").mapInArrow(sets_of, "id long, cells array<long>, data binary")
+    spread = sets.select(F.explode("cells").alias("cell"), "id", "data").repartition("cell").sortWithinPartitions("cell", "id")
+    return spread.mapInArrow(compare, "a long, b long")
 
 
 def keep_first(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:

@@ -282,6 +282,34 @@ def test_copies_are_told_at_the_limit(spark):
     assert gone <= want and len(gone & set(range(200))) >= 95 and len(gone & set(range(400, 480))) >= 32
 
 
+@pytest.mark.parametrize("cell", [1 << 22, 1 << 15, 1 << 11])
+def test_families_below_the_limit_stay_small(spark, monkeypatch, cell):
+    monkeypatch.setattr(simhash, "CELL", cell, raising=False)
+    put, written = simhash.Shelf.put, []
+
+    def counted(shelf, df):
+        table = put(shelf, df)
+        written.append(table.count())
+        return table
+
+    monkeypatch.setattr(simhash.Shelf, "put", counted)
+    rng = np.random.default_rng(6)
+    base, rows = [f"w{x}" for x in rng.integers(0, 10**6, 404)], []
+    for k in range(300):  # most pairs are near 0.74, some above 0.8; a few texts are nearer to others
+        w = list(rows[-1][1].split() if k % 10 == 9 else base)
+        for at in rng.choice(404, 1 if k % 10 == 9 else 6, replace=False):
+            w[int(at)] = f"n{k}"
+        rows.append((k, " ".join(w)))
+    sets = [set(simhash.shingles_of(t, 5, repeats=False).tolist()) for _, t in rows]
+    near = np.array([[len(x & y) / len(x | y) >= 0.8 for y in sets] for x in sets])
+    want = np.arange(300)
+    for _ in range(300):
+        want = np.array([want[n].min() for n in near])
+    got = dict(tuple(r) for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert [got[k] for k in range(300)] == want.tolist() and len(set(want.tolist())) > 1
+    assert max(written) <= 20 * 300  # pairs would be 44850
+
+
 def test_segments_follow_size():
     small, large = simhash.plan_segments(1000, 0.8), simhash.plan_segments(10**9, 0.8)
     assert small[0] == 16 and large[0] > 24 and large[1] > small[1]
