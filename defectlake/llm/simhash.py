@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Shelf, connected_components, keep_one, slices, texts_of
+from .neardup import _unite
 
 SEED = 42
 
@@ -125,45 +128,89 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-#: Stored fingerprints of one key beyond which its pairs are not all compared, and pivots of such a key.
-HOT, PIVOTS = 1000, 8
+#: Fingerprints of one key beyond which it is cut into parts, and those compared with the others at once.
+HOT, PIVOTS = 1 << 15, 64
 
 
-def spanning_pairs(shelf: Shelf, stored: DataFrame, probes: DataFrame, filtered, whole: DataFrame, linked) -> DataFrame:
-    """Candidate pairs (a, b) with the same components as all pairs that meet at a key.
+def plan_masks(n: int, bits: int = 4) -> list[int]:
+    """Masks of the 64 bits such that any two fingerprints within `bits` bits are equal under one of them.
 
-    Pairs of a key of up to HOT stored rows are all taken, if `filtered`. In a larger one (many near
-    copies, say) every member is first compared with PIVOTS of them: members linked with the same
-    pivot are connected through it, so only pairs with an unlinked member, and pairs across pivots,
-    which the pivots' own comparisons cover, are left to meet. `whole` has id and value of all
-    fingerprints, and `linked` compares two values in full.
+    Of bits + s segments at least s are untouched, so there is a mask for each s segments; s is the
+    least at which chance leaves a key 8192 fingerprints or fewer.
     """
-    hot = shelf.put(stored.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("key"))
-    if not hot.limit(1).count():
-        return _ordered(stored.join(probes, "key").filter(filtered))
-    cold = _ordered(stored.join(hot, "key", "left_anti").join(probes, "key").filter(filtered))
-    mine = stored.join(hot, "key", "left_semi").select("key", F.col("a").alias("id")).join(whole, "id")
-    salt = F.pmod(F.xxhash64("id"), F.lit(PIVOTS))
-    pivots = mine.groupBy("key", salt.alias("salt")).agg(F.min(F.struct("id", "value")).alias("p")).select("key", F.col("p.id").alias("a"), F.col("p.value").alias("pv"))
-    pivots = shelf.put(pivots)
-    asks = probes.join(hot, "key", "left_semi").select("key", F.col("b").alias("id"))
-    with_value = asks.join(whole, "id").join(pivots, "key").withColumn("near", linked(F.col("value"), F.col("pv")))
-    marked = with_value.groupBy("key", "id").agg(F.min(F.when(F.col("near"), F.col("a"))).alias("pivot"))
-    marked = shelf.put(marked)
-    spokes = marked.filter("pivot is not null and pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
-    between = pivots.select("key", "a", F.col("pv").alias("x")).join(pivots.select("key", F.col("a").alias("b"), F.col("pv").alias("y")), "key").filter((F.col("a") < F.col("b")) & linked(F.col("x"), F.col("y"))).select("a", "b")
-    held = stored.join(hot, "key", "left_semi").join(marked.withColumnRenamed("id", "a"), ["key", "a"]).select("key", "a", *[c for c in stored.columns if c not in ("key", "a")], F.col("pivot").alias("pa"))
-    asked = probes.join(marked.withColumnRenamed("id", "b"), ["key", "b"]).select("key", "b", *[c for c in probes.columns if c not in ("key", "b")], F.col("pivot").alias("pb"))
-    lone = held.filter("pa is null").join(asked, "key").filter(filtered).select("a", "b")
-    lone = lone.unionByName(held.filter("pa is not null").join(asked.filter("pb is null"), "key").filter(filtered).select("a", "b"))
-    # members of two pivots that are not linked may link them; one spanning pair of pivots is enough,
-    # so those pairs meet as well, but only where more than one pivot's group is left
-    groups = marked.filter("pivot is not null").groupBy("key").agg(F.countDistinct("pivot").alias("groups")).filter("groups > 1").select("key")
-    apart = held.filter("pa is not null").join(groups, "key", "left_semi").join(asked.filter("pb is not null"), "key").filter((F.col("pa") != F.col("pb")) & filtered).select("a", "b")
-    return _ordered(cold.unionByName(spokes).unionByName(between).unionByName(lone).unionByName(apart))
-
-
-def near_duplicates(docs: DataFrame, bits: int = 4, words: int = 4, segments: int = 3) -> DataFrame:
+    spare = 1
+    while n >> (spare * 64 // (bits + spare)) > 1 << 13 and spare < 4:
+        spare += 1
+    edges = [64 * k // (bits + spare) for k in range(bits + spare + 1)]
+    own = [(1 << b) - (1 << a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return [sum(some) for some in combinations(own, spare)]
+
+
+def linked_bits(fp: np.ndarray, bits: int) -> np.ndarray:
+    """For each fingerprint the first one that it is connected with by links of `bits` bits or fewer."""
+    label = np.arange(len(fp))
+    for i in range(0, len(fp) - 1, PIVOTS):
+        p, q = np.nonzero(np.bitwise_count(fp[i : i + PIVOTS, None] ^ fp[None, i:]) <= bits)
+        p, q = p + i, q + i
+        fresh = label[p] != label[q]
+        label = _unite(label, p[fresh], q[fresh])
+    return label
+
+
+def spanning_pairs(shelf: Shelf, distinct: DataFrame, bits: int) -> DataFrame:
+    """Links (a, b) of `first` with the same components as all pairs of fingerprints within `bits` bits.
+
+    Fingerprints that are equal under a mask meet in one task, which compares all of them and returns
+    no more links than it has fingerprints. A key of more than HOT is cut into parts, and each two
+    of them meet in a task.
+    """
+
+    def signed(mask: int):
+        return F.lit(mask - (mask >> 63 << 64)).cast("long")
+
+    masks = plan_masks(distinct.count(), bits)
+    keys = F.array(*[F.xxhash64(F.col("fp").bitwiseAND(signed(m)), F.lit(k)) for k, m in enumerate(masks)])
+    keyed = distinct.filter("first is not null").select("first", "fp", F.explode(keys).alias("cell"))
+    hot = shelf.put(keyed.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > HOT))
+    if hot.limit(1).count():
+        cut = keyed.join(hot.select("cell", F.ceil(F.col("n") * 2 / HOT).cast("int").alias("parts")), "cell", "left")
+        cut = cut.withColumn("own", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts")))
+        met = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.xxhash64("cell", F.least("own", o), F.greatest("own", o)))
+        keyed = cut.select("first", "fp", F.explode(F.when(F.col("parts").isNull(), F.array("cell")).otherwise(met)).alias("cell"))
+
+    def compare(batches):
+        cell, parts = None, []
+
+        def links():
+            first, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
+            label = linked_bits(fp, bits)
+            at = np.flatnonzero(label != np.arange(len(label)))
+            return first[label[at]], first[at]
+
+        for batch in batches:
+            cells, first, fp = (batch.column(k).to_numpy() for k in range(3))
+            fp, found = fp.view(np.uint64), []
+            cuts = [0, *(np.flatnonzero(np.diff(cells)) + 1).tolist(), len(cells)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if cells[a] != cell:
+                    if parts:
+                        found.append(links())
+                    cell, parts = cells[a], []
+                parts.append((first[a:b].copy(), fp[a:b].copy()))
+            if found:
+                a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        if parts:
+            a, b = links()
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    spread = keyed.select("cell", "first", "fp").repartition("cell").sortWithinPartitions("cell", "first")
+    return spread.mapInArrow(compare, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, bits: int = 4, words: int = 4) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id reachable over links of `bits` bits or fewer.
 
     Equal fingerprints are one vertex, so groups of copies of any size cost one row. Null and empty
@@ -172,13 +219,7 @@ def near_duplicates(docs: DataFrame, bits: int = 4, words: int = 4, segments: in
     shelf = Shelf(docs.sparkSession)
     fps = shelf.put(fingerprints(docs, words))
     distinct = shelf.put(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    stored, probes = lookups(distinct.select("fp"), bits, segments)
-    whole = distinct.select(F.col("fp").alias("id"), F.col("fp").alias("value"))
-    pairs = spanning_pairs(shelf, stored, probes, _apart(bits), whole, lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= bits)
-    a = distinct.select(F.col("fp").alias("a"), F.col("first").alias("left"))
-    b = distinct.select(F.col("fp").alias("b"), F.col("first").alias("right"))
-    edges = pairs.join(a, "a").join(b, "b").select(F.col("left").alias("a"), F.col("right").alias("b"))
-    groups = connected_components(shelf, edges)
+    groups = connected_components(shelf, spanning_pairs(shelf, distinct, bits))
     named = distinct.join(groups, F.col("first") == F.col("node"), "left")
     named = shelf.put(named.select("fp", F.coalesce("component", "first").alias("component_id")))
     return fps.join(named, "fp")

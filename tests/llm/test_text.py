@@ -212,6 +212,31 @@ def test_simhash_pairs_lose_none(spark):
     assert {(r["fp"], r["other"]) for r in rows} == want and len(rows) == len(want)
 
 
+def test_links_of_fingerprints_are_spanned(spark):
+    masks = [simhash.plan_masks(n) for n in (1000, 10**8, 10**11)]
+    assert [len(m) for m in masks] == [5, 15, 35]
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        change = sum(1 << int(b) for b in rng.choice(64, 4, replace=False))
+        assert all(any(not change & m for m in some) for some in masks)
+    base, rows = rng.integers(0, 2**64, 3, dtype=np.uint64), []
+    for k in range(900):  # all pairs of a family are within four bits: 134550 links
+        rows.append((k, int((base[k % 3] ^ (np.uint64(1) << np.uint64(rng.integers(60))) ^ (np.uint64(1) << np.uint64(60 + k % 4))).view(np.int64))))
+    distinct = spark.createDataFrame({v: k for k, v in rows[::-1]}.items(), "fp long, first long")
+    pairs = simhash.spanning_pairs(simhash.Shelf(spark), distinct, 4).collect()
+    label = {k: k for k, _ in rows}
+    for _ in range(20):
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    fp = np.array([v for v, _ in distinct.collect()], np.int64).view(np.uint64)
+    ids = [k for _, k in distinct.collect()]
+    near = np.bitwise_count(fp[:, None] ^ fp[None]) <= 4
+    want = np.array(ids)
+    for _ in range(30):
+        want = np.array([want[n].min() for n in near])
+    assert [label[k] for k in ids] == want.tolist() and len(pairs) <= 5 * len(ids)
+
+
 def test_simhash_groups(spark, odd, none):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == len(ODD) + 2
