@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,16 +45,125 @@ def warnings(seeds: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return seeds.join(F.broadcast(middle), how="cross").select("id", F.inline(found))
 
 
+#: Rows of a block of hashes: as many as make BLOCKS of them, within these bounds.
+BLOCK_ROWS, BLOCKS = (16384, 65536), 64
+#: Pairs of rows that are expanded at a time.
+EXPANDED = 1 << 18
+#: Bands are joined if the pairs that they bring together are at most this share of all.
+SELECTIVE = 0.005
+
+
+def _widths(threshold: int, bits: int) -> list[int]:
+    """Widths of threshold // 2 + 1 bands, of which one differs in at most one bit."""
+    bands = threshold // 2 + 1
+    return [bits // bands + (k < bits % bands) for k in range(bands)]
+
+
+def _selective(threshold: int, bits: int) -> bool:
+    """Whether bands spare comparisons: a join costs some hundred times what comparing two hashes does."""
+    return sum((1 + w) / 2**w for w in _widths(threshold, bits)) <= SELECTIVE
+
+
+def _grouped(hashes: DataFrame, *of_hash: Column) -> DataFrame:
+    """One row per hash; rows without an id or a hash are in no pair."""
+    return hashes.filter("id is not null and hash is not null").groupBy("hash").agg(*of_hash)
+
+
+def _meetings(groups: DataFrame, rows: int) -> DataFrame:
+    """Rows of one block (a block with itself) or two (both blocks): every two blocks of `groups` meet once.
+
+    Blocks are bounded, so each meeting is of bounded size whatever the table's, but for the ids of equal
+    hashes; with n blocks each row travels n times.
+    """
+    least, most = BLOCK_ROWS
+    n = max(1, -(-rows // min(max(rows // BLOCKS, least), most)))
+    block = F.pmod(F.xxhash64("hash"), F.lit(n)).cast("int").alias("block")
+    packed = groups.groupBy(block).agg(F.collect_list(F.struct(*groups.columns)).alias("rows"))
+    sent = packed.withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    sent = sent.select(F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "rows")
+    # a number that is given is not coalesced: a meeting is little data and much work
+    met = sent.repartition(min(n * (n + 1) // 2, 4096), "low", "high").groupBy("low", "high").agg(F.collect_list("rows").alias("sides"))
+    return met.filter((F.col("low") == F.col("high")) | (F.size("sides") == 2)).select("sides")
+
+
+def _sides(batch: pa.RecordBatch):
+    """For each row the one or two blocks, as Arrow structs."""
+    sides = batch.column(0)
+    for i in range(len(sides)):
+        blocks = sides[i].values
+        yield [blocks[k].values for k in range(len(blocks))]
+
+
+def _close(a: np.ndarray, b: np.ndarray | None, threshold: int):
+    """Indices and distances of hashes of `a` and `b` within the threshold, or of two of `a`; in parts."""
+    held, n = [], 0
+    for i in range(len(a)):
+        other = a[i + 1 :] if b is None else b
+        distance = np.bitwise_count(other ^ a[i])
+        near = np.flatnonzero(distance <= threshold)
+        if len(near):
+            held.append((np.full(len(near), i), near + (i + 1 if b is None else 0), distance[near]))
+            n += len(near)
+        if n >= EXPANDED:
+            yield tuple(map(np.concatenate, zip(*held, strict=True)))
+            held, n = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
+def _hits(blocks: list[pa.StructArray], threshold: int):
+    """Parts of (x, y, distance, equal): places in the first and in the last block; a hash also meets itself."""
+    a = blocks[0].field("hash").to_numpy().view(np.uint64)
+    b = blocks[1].field("hash").to_numpy().view(np.uint64) if len(blocks) > 1 else None
+    if b is None:
+        every = np.arange(len(a))
+        yield every, every, np.zeros(len(a), np.uint8), True
+    for x, y, distance in _close(a, b, threshold):
+        yield x, y, distance, False
+
+
+def _expanded(blocks: list[pa.StructArray], threshold: int):
+    """Batches of (id, other, distance) of two blocks, of few rows at a time however many share a hash."""
+    lists = [b.field("ids") for b in (blocks[0], blocks[-1])]
+    ids, begins = [v.values for v in lists], [v.offsets.to_numpy() for v in lists]
+    for x, y, distance, equal in _hits(blocks, threshold):
+        (ax, nx), (ay, ny) = ((o[k].astype(np.int64), np.diff(o)[k].astype(np.int64)) for o, k in zip(begins, (x, y), strict=True))
+        if equal:
+            some = nx > 1
+            distance, ax, nx, ay, ny = (v[some] for v in (distance, ax, nx, ay, ny))
+        ends = np.cumsum(nx * ny)
+        for first in range(0, int(ends[-1]) if len(ends) else 0, EXPANDED):
+            t = np.arange(first, min(first + EXPANDED, int(ends[-1])))
+            k = np.searchsorted(ends, t, "right")
+            t -= ends[k] - nx[k] * ny[k]
+            one, two = ids[0].take(pa.array(ax[k] + t // ny[k])), ids[1].take(pa.array(ay[k] + t % ny[k]))
+            less = pc.less(one, two)
+            kept = less if equal else pc.not_equal(one, two)  # ids of equal hashes meet in both orders
+            columns = [pc.if_else(less, one, two), pc.if_else(less, two, one), pa.array(distance[k].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "other", "distance"]).filter(kept)
+
+
 def near_pairs(hashes: DataFrame, threshold: int = 4, bits: int = 64) -> DataFrame:
     """All pairs (id, other, distance) with id < other and at most `threshold` differing bits.
 
-    The hash is cut into threshold // 2 + 1 bands, of which one differs in at most one bit. A row is
-    stored by its bands, and asks for each band and its one-bit changes; what meets is verified.
-    So equal hashes of a hot group are joined once per distinct hash, not once per row: groups are
-    formed first, and pairs of rows are expanded from pairs of hashes.
+    If bands are selective, the hash is cut into threshold // 2 + 1 of them, of which one differs in at
+    most one bit. A row is stored by its bands, and asks for each band and its one-bit changes; what
+    meets is verified. For a wider threshold such look-ups meet as many rows as there are pairs: then
+    blocks of distinct hashes meet, and all of two blocks are compared in one task. So equal hashes of
+    a hot group are compared once per distinct hash, not once per row.
     """
-    bands = threshold // 2 + 1
-    width = [bits // bands + (k < bits % bands) for k in range(bands)]
+    if not _selective(threshold, bits):
+        kind = hashes.schema["id"].dataType.simpleString()
+
+        def compare(batches):
+            for batch in batches:
+                for blocks in _sides(batch):
+                    yield from _expanded(blocks, threshold)
+
+        met = _meetings(_grouped(hashes, F.collect_list("id").alias("ids")), hashes.count())
+        return met.mapInArrow(compare, f"id {kind}, other {kind}, distance int")
+    width = _widths(threshold, bits)
+    bands = len(width)
     start = [sum(width[:k]) for k in range(bands)]
 
     def word(value: int) -> Column:

@@ -2,6 +2,7 @@ import json
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,6 +193,42 @@ def test_near_pairs_equal_comparison(spark):
     assert {r["code"] for r in warned.collect()} == {"duplicate", "near_duplicate"}
 
 
+def _near_copies(spark, n: int):
+    """Rows of hashes of 56 bits with copies, near copies, ids that occur twice or are null, and null hashes."""
+    rng = np.random.default_rng(8)
+    values = rng.integers(0, 2**56, n)
+    for k in range(n // 20, n // 2):
+        values[k] = values[k % (n // 20)] ^ sum(1 << int(b) for b in rng.choice(56, rng.integers(0, 12), replace=False))
+    rows = [(i if i % 97 else 3, int(v)) for i, v in enumerate(values)]
+    return spark.createDataFrame([*rows, (None, rows[0][1]), (n, None)], "id long, hash long")
+
+
+@pytest.mark.parametrize("rows", [100, 100000])
+def test_wide_thresholds_compare_blocks(spark, monkeypatch, rows):
+    monkeypatch.setattr(quality, "BLOCK_ROWS", (rows, rows))
+    hashes = _near_copies(spark, 700)
+    pairs = quality.near_pairs(hashes, 14, 56)
+    want = sorted(map(tuple, quality.near_pairs_by_comparison(hashes, 14).collect()))
+    assert len(want) > 1000 and {r[2] for r in want} == set(range(15)) and sorted(map(tuple, pairs.collect())) == want
+    assert "Join" not in pairs._jdf.queryExecution().optimizedPlan().toString()  # no candidates of bands
+    names = hashes.select(F.concat(F.lit("n"), "id").alias("id"), "hash")
+    assert quality.near_pairs(names, 14, 56).count() == quality.near_pairs_by_comparison(names, 14).count()
+    assert quality.near_pairs(hashes.limit(0), 14, 56).count() == 0
+
+
+def test_copies_are_expanded_in_bounded_parts(monkeypatch):
+    monkeypatch.setattr(quality, "EXPANDED", 50)
+    one = [{"hash": 0, "ids": list(range(0, 60, 2))}, {"hash": 1, "ids": [1]}, {"hash": 2**55 - 1, "ids": [7, 7]}]
+    two = [{"hash": 3, "ids": list(range(1, 60, 3))}]
+    for blocks in ([one], [one, two]):
+        parts = list(quality._expanded([pa.array(b, pa.struct({"hash": pa.int64(), "ids": pa.list_(pa.int64())})) for b in blocks], 14))
+        assert max(p.num_rows for p in parts) <= 50
+        rows = [[(i, r["hash"]) for r in b for i in r["ids"]] for b in blocks]
+        sides = [(x, y) for k, x in enumerate(rows[0]) for y in rows[0][k + 1 :]] if len(rows) == 1 else [(x, y) for x in rows[0] for y in rows[1]]
+        want = sorted((min(i, j), max(i, j), (g ^ h).bit_count()) for (i, g), (j, h) in sides if i != j and (g ^ h).bit_count() <= 14)
+        assert sorted(tuple(r.values()) for p in parts for r in p.to_pylist()) == want
+
+
 @pytest.mark.parametrize("change,code", [({"mean_brightness": 20.0}, "too_dark"), ({"mean_brightness": 240.0}, "too_bright"), ({"blur_score": 50.0}, "blurry"), ({"width": 40}, "too_small"), ({"width": 9000}, "too_large"), ({"height": 200}, "odd_dimensions")])
 def test_each_rule_fires(spark, change, code):
     base = {"id": 1, "width": 100, "height": 100, "mean_brightness": 127.0, "blur_score": 200.0}
