@@ -204,6 +204,40 @@ def duplicate_summary(hashes: DataFrame, pairs: DataFrame) -> DataFrame:
     return n.join(pairs.agg(F.count("*").alias("pairs"), F.coalesce(F.min("distance"), F.lit(-1)).alias("closest")), how="cross")
 
 
+def near_summary(hashes: DataFrame, threshold: int = 4, bits: int = 64) -> DataFrame:
+    """duplicate_summary of near_pairs, without expanding the pairs of wide thresholds: they are counted by hash.
+
+    Pairs of rows of one id, of which there are none if ids are unique, are taken off.
+    """
+    if _selective(threshold, bits):
+        return duplicate_summary(hashes, near_pairs(hashes, threshold, bits))
+
+    def count(batches):
+        for batch in batches:
+            for blocks in _sides(batch):
+                (n, one), (m, two) = ((b.field("n").to_numpy(), b.field("one")) for b in (blocks[0], blocks[-1]))
+                pairs, closest = 0, None
+                for x, y, distance, equal in _hits(blocks, threshold):
+                    if equal:
+                        pairs += sum(v * (v - 1) // 2 for v in n[n > 1].tolist())
+                        real = one.is_null().to_numpy(zero_copy_only=False)
+                    else:
+                        pairs += int((n[x] * m[y]).sum())
+                        real = ~pc.fill_null(pc.equal(one.take(pa.array(x)), two.take(pa.array(y))), False).to_numpy(zero_copy_only=False)
+                    if real.any():
+                        closest = min(int(distance[real].min()), bits if closest is None else closest)
+                yield pa.RecordBatch.from_arrays([pa.array([pairs], pa.int64()), pa.array([closest], pa.int32())], ["pairs", "closest"])
+
+    alone = F.when(F.min("id") == F.max("id"), F.min("id")).alias("one")
+    groups = _grouped(hashes, F.count("*").alias("n"), alone)
+    found = _meetings(groups, hashes.count()).mapInArrow(count, "pairs long, closest int").agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.coalesce(F.min("closest"), F.lit(-1)).alias("closest"))
+    again = hashes.filter("id is not null and hash is not null").groupBy("id").agg(F.collect_list("hash").alias("h")).filter(F.size("h") > 1)
+    near = F.aggregate("h", F.lit(0).cast("long"), lambda s, a: s + F.size(F.filter("h", lambda b: hamming(a, b) <= threshold)))
+    own = again.agg(F.coalesce(F.sum((near - F.size("h")) / 2).cast("long"), F.lit(0)).alias("own"))
+    n = hashes.agg(F.count("*").alias("total"))
+    return n.join(found, how="cross").join(own, how="cross").select("total", (F.col("pairs") - F.col("own")).alias("pairs"), "closest")
+
+
 def outliers(rows: DataFrame, measures: dict[str, str], sigmas: float = 2.0) -> DataFrame:
     """Rows farther than `sigmas` population deviations from the mean of a measure, with the reasons.
 

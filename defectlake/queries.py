@@ -151,8 +151,7 @@ def seed_duplicate_warnings(spark, d):
 
 @query(_HASH + " SELECT (SELECT count(*) FROM hs) AS total, count(*) AS pairs, coalesce(min(distance), -1) AS closest FROM np")
 def output_duplicate_summary(spark, d):
-    hashes = _hashes(spark, d)
-    return quality.duplicate_summary(hashes, quality.near_pairs(hashes, 14, 56))
+    return quality.near_summary(_hashes(spark, d), 14, 56)
 
 
 @query(

@@ -229,6 +229,21 @@ def test_copies_are_expanded_in_bounded_parts(monkeypatch):
         assert sorted(tuple(r.values()) for p in parts for r in p.to_pylist()) == want
 
 
+@pytest.mark.parametrize("rows", [100, 100000])
+def test_summary_counts_pairs_by_hash(spark, monkeypatch, rows):
+    monkeypatch.setattr(quality, "BLOCK_ROWS", (rows, rows))
+    hashes = _near_copies(spark, 700)
+    for some in (hashes, hashes.filter("id = 3"), hashes.filter("id % 90 = 0"), hashes.limit(0)):
+        want = quality.duplicate_summary(some, quality.near_pairs_by_comparison(some, 14)).first()
+        assert quality.near_summary(some, 14, 56).first() == want
+    assert quality.near_summary(hashes).first() == quality.duplicate_summary(hashes, quality.near_pairs_by_comparison(hashes)).first()
+
+
+def test_summary_does_not_expand_copies(spark):
+    copies = spark.range(300000).select("id", F.lit(5).cast("long").alias("hash"))
+    assert tuple(quality.near_summary(copies, 14, 56).first()) == (300000, 300000 * 299999 // 2, 0)
+
+
 @pytest.mark.parametrize("change,code", [({"mean_brightness": 20.0}, "too_dark"), ({"mean_brightness": 240.0}, "too_bright"), ({"blur_score": 50.0}, "blurry"), ({"width": 40}, "too_small"), ({"width": 9000}, "too_large"), ({"height": 200}, "odd_dimensions")])
 def test_each_rule_fires(spark, change, code):
     base = {"id": 1, "width": 100, "height": 100, "mean_brightness": 127.0, "blur_score": 200.0}
