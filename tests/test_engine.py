@@ -244,6 +244,14 @@ def test_summary_does_not_expand_copies(spark):
     assert tuple(quality.near_summary(copies, 14, 56).first()) == (300000, 300000 * 299999 // 2, 0)
 
 
+def test_warnings_of_wide_thresholds(spark):
+    hashes = _near_copies(spark, 700)
+    got = quality.duplicate_warnings(quality.near_pairs(hashes, 14, 56))
+    want = quality.duplicate_warnings(quality.near_pairs_by_comparison(hashes, 14))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("change,code", [({"mean_brightness": 20.0}, "too_dark"), ({"mean_brightness": 240.0}, "too_bright"), ({"blur_score": 50.0}, "blurry"), ({"width": 40}, "too_small"), ({"width": 9000}, "too_large"), ({"height": 200}, "odd_dimensions")])
 def test_each_rule_fires(spark, change, code):
     base = {"id": 1, "width": 100, "height": 100, "mean_brightness": 127.0, "blur_score": 200.0}
